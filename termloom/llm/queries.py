@@ -9,6 +9,7 @@ from termloom.llm.leaks import find_leaks
 from termloom.llm.mixing import mix, token_counts
 from termloom.llm.neighbors import nearest, usable
 from termloom.llm.pieces import split_pieces
+from termloom.llm.sentences import split_sentences
 from termloom.llm.topn import top_n
 from termloom.llm.variants import canonical_key, collapse
 from termloom.session import table
@@ -105,9 +106,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p5_pieces": p5_pieces,
-    "p6_found": p6_found, "p6_ranked": p6_ranked, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p6_found": p6_found, "p6_ranked": p6_ranked, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 
 _TOP = """select '{t}' as tbl, source_cui, row_number() over (partition by source_cui order by {s}, target_cui, row_id) as top_rank, row_id, target_cui
