@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from termloom.llm.leaks import find_leaks
 from termloom.llm.mixing import mix, token_counts
 from termloom.llm.neighbors import nearest, usable
+from termloom.llm.personal import find_items, redact
 from termloom.llm.pieces import split_pieces
 from termloom.llm.sentences import split_sentences
 from termloom.llm.topn import top_n
 from termloom.llm.variants import canonical_key, collapse
 from termloom.session import table
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    portal = table(spark, sf_dir, "search_quality_patient_portal_queries", "row_id", "query").select(F.lit("search_quality_patient_portal_queries").alias("tbl"), "row_id", F.col("query").alias("text"))
+    terms = table(spark, sf_dir, "query_rows", "row_id", "search_term").select(F.lit("query_rows").alias("tbl"), "row_id", F.col("search_term").alias("text"))
+    return portal.unionByName(terms)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_texts(spark, sf_dir)).select("tbl", "row_id", "kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return redact(texts, find_items(texts))
+
+
 _LABEL = ["cui", "sab", "tty", "ispref", "suppress"]
 _EVIDENCE = ["cui", "view", "evidence_type"]
 
@@ -111,6 +127,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_ranked": p6_ranked, "p8_found": p8_found, "p8_coverage": p8_coverage, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
 }
