@@ -6,11 +6,11 @@ the spans are put back from an array by their index. Everything is built-in colu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import let
+
 #: Spans inside which nothing separates: a double-quoted string (doubled quotes escape) or round brackets.
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 SPAN = QUOTED + r'|\([^()"]*+(?:' + QUOTED + r'[^()"]*+)*+\)'
@@ -22,11 +22,6 @@ BARE = r"[A-Za-z]+[:_]?[0-9]+"
 _OPEN, _CLOSE, _ESCAPE, _CUT = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def split_packed(field: Column, delimiters: str = DELIMITERS) -> Column:
     """Array of the values of a packed field, as written, without blanks around them, enclosing double quotes
     (doubled quotes inside become single) or square brackets around the whole list.
