@@ -7,24 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Streams need a time with a zone: one without is taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"))
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"))
     return w.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    w = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return w.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_seen(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events without redeliveries of an id."""
-    marked = events.withWatermark("ts", late)
+    marked = _timed(events).withWatermark("ts", late)
     return marked.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else marked.dropDuplicates(["event_id"])
 
 
