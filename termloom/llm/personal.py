@@ -24,7 +24,7 @@ KINDS = ["person_name", "email", "phone", "id_number", "address"]
 ROUNDS = 6
 ACCEPT, ACCEPT_NAME = 0.5, 0.4
 #: From this score on, a unit counts as known; weight of doubt against a pattern with few units.
-SURE, DOUBT = 0.5, 0.4
+SURE, DOUBT = 0.5, 0.2
 
 # Given names that serve as seeds, common in several countries.
 SEED_NAMES = set(
@@ -68,10 +68,10 @@ _EMAIL = re.compile(
     re.I,
 )
 _CITY = r"(?:(?:north|south|east|west|new|old|upper|lower|saint|st\.?|port|great|little|bad|san|santa|los|las)\s+)?[^\W\d_][\w'’-]+(?:\s+(?:falls|springs|city|heights|hill|hills|beach|park)\b)?"
-_TAIL = rf"(?:,\s*(?:unit|apt|apartment|flat|suite|no|floor)\.?\s*[\w-]+)?(?:,\s*(?:\d{{4,5}}\s+)?{_CITY})?(?:,\s*[A-Z]{{2}}\s+\d{{4,5}}(?:-\d{{4}})?|\s+\d{{5}}(?!\d))?"
+_TAIL = rf"(?:,\s*(?:unit|apt|apartment|flat|suite|no|floor)\b\.?\s*[\w-]+)?(?:,\s*(?:\d{{4,5}}\s+)?{_CITY})?(?:,\s*[A-Z]{{2}}\s+\d{{4,5}}(?:-\d{{4}})?|\s+\d{{5}}(?!\d))?"
 _NAMED = r"(?!(?:blocks?|miles?|days?|weeks?|hours?|minutes?|times?|years?|mg|ml|down|the|in|of|on|and|a|was|is|cm|km|patients?|from|to|up)\b)[^\W\d_][\w'’.-]*"
 _ADDRESS = re.compile(
-    rf"\b(?:p\.?\s?o\.?\s?box|post\s?box|postfach|apartado(?: de correos)?|boîte postale|casella postale)\s+\d+{_TAIL}"
+    rf"\b(?:p\.?\s*o\.?\s*box|post\s*box|postfach|apartado(?:\s+de\s+correos)?|boîte\s+postale|casella\s+postale)\s+\d+{_TAIL}"
     rf"|(?:\b(?:apt|apartment|unit|flat|suite)\.?\s*[\w-]+,\s*)?(?<![\w.,-])\d{{1,5}}[a-z]?\s+(?:[nsew]\.\s+)?(?:{_NAMED}\s+){{1,4}}?"
     rf"(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|court|ct|drive|way|place|square|sq|terrace|crescent|close|parkway|highway|row)\b\.?{_TAIL}"
     rf"|(?<![\w.,-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours)\s+(?:(?:de|des|du|la|le|les)\s+|d'|l')*[^\W\d_][\w'’-]*(?:,\s*\d{{4,5}}\s+{_CITY}|,\s*{_CITY})?"
@@ -92,6 +92,14 @@ def flat(text: str) -> str:
     return "".join(c if c.isascii() or len(n := unicodedata.normalize("NFKC", c)) != 1 else n for c in text)
 
 
+def _apart(run: str) -> list[str]:
+    """Numbers that stand side by side, with the blanks between them: a long group of digits or a whole telephone
+    number behind at least five other digits is a number of its own."""
+    parts = re.split(r"(\s+)(?=\d{9,})", run)
+    m = re.fullmatch(r"(.*\d)(\s+)(\+\d.*|\(?\d{3}\)?[-. ]{0,2}\d{3}[-. ]{1,2}\d{4}|\d{3}-\d{4}|0\d{2,4} {1,2}\d{3,4} {1,2}\d{4}|0\d(?: {1,2}\d\d){4})", parts[-1])
+    return [*parts[:-1], *m.groups()] if m and _digits(m[1]) >= 5 else parts
+
+
 def _shape(number: str) -> str:
     number = re.sub(r"\s*(?:ext\.?|x)\s*\d+$", "", re.sub(r"\s+", " ", number.strip()), flags=re.I)
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d+", lambda m: str(len(m[0])), number))
@@ -125,7 +133,7 @@ def extract(text: str) -> Iterator[tuple]:
     for m in _NUMBER.finditer(shown):
         # a long group of digits after a blank is a number of its own
         a = m.start()
-        for part in re.split(r"(\s+)(?=\d{9,})", m[0]):
+        for part in _apart(m[0]):
             if _digits(part) >= 5:
                 numbers.append((a, a + len(part)))
                 taken[a : a + len(part)] = b"\2" * len(part)
@@ -193,7 +201,7 @@ def extract(text: str) -> Iterator[tuple]:
             if telling and w[0].islower():
                 yield "lower", a, b, low, "", "", ""
                 continue
-            if low.endswith(("'s", "’s")):
+            if low.endswith(("'s", "’s")) or telling and w.isupper() and "-" not in w:
                 continue
             r1, j = near(i, 1, True)
             if r1 in EPONYM_HEADS or any(r1 == f"{x}s" for x in ("score", "sign", "disease")):
@@ -233,7 +241,7 @@ def _feature(name: str, *columns: str) -> Column:
     return F.concat_ws("\u001f", F.lit(name), *columns)
 
 
-def _rounds(units: DataFrame, seed: Column, rounds: int, spread: float, unknown: float, right_share: float, edge_share: float) -> DataFrame:
+def _rounds(units: DataFrame, seed: Column, rounds: int, spread: float, unknown: float, right_share: float, edge_share: float, mute_weight: float) -> DataFrame:
     """Score the graph of patterns and instances: units (uid, inst, n, features), one for each instance in its
     patterns; ``seed`` is 1 for seed entities, 0 for what is known to be none, and null for the unknown.
 
@@ -250,14 +258,16 @@ def _rounds(units: DataFrame, seed: Column, rounds: int, spread: float, unknown:
         sure = F.col("seed").isNotNull() | (F.col("score") >= SURE)
         now = state.select("uid", F.when(sure, F.col("score")).alias("s"))
         weight = F.when(F.col("s").isNull(), F.col("w") * unknown).otherwise(F.col("w"))
-        patterns = edges.join(now, "uid").groupBy("feature").agg((F.sum(F.col("w") * F.coalesce("s", F.lit(0.0))) / (F.sum(weight) + DOUBT)).alias("p"), F.count("s").alias("told"))
+        patterns = edges.join(now, "uid").groupBy("feature").agg((F.sum(F.col("w") * F.coalesce("s", F.lit(0.0))) / (F.sum(weight) + DOUBT)).alias("p"), F.count("s").alias("told"), F.sum("w").alias("mass"))
         patterns = patterns.withColumn("heard", F.when(F.col("told") > 0, F.col("p")))
         on_left = F.col("feature").startswith("l")
-        by_unit = edges.join(patterns, "feature").groupBy("uid").agg(F.max(F.when(on_left, F.coalesce("heard", F.lit(0.0)))).alias("left"), F.max(F.when(~on_left, F.col("heard"))).alias("right"), F.max(F.when(on_left, F.col("heard"))).alias("left_heard"))
+        by_unit = edges.join(patterns, "feature").withColumn("silent", F.col("told") == 0).groupBy("uid").agg(F.max(F.when(on_left, F.coalesce("heard", F.lit(0.0)))).alias("left"), F.max(F.when(~on_left, F.col("heard"))).alias("right"), F.max(F.when(on_left, F.col("heard"))).alias("left_heard"), F.max(F.when(F.col("feature").startswith("l2") & F.col("silent"), F.col("mass"))).alias("mute"))
         # what stands to the left tells more; the right side alone counts in full only where nothing stands there
         own = F.when(F.col("left").isNull(), F.col("right")).when(F.coalesce("left_heard", "right").isNotNull(), F.greatest(F.col("left"), F.coalesce("right", F.lit(0.0)) * right_share))
+        # a longer pattern to the left that occurs often and never with anything known speaks against the shorter one
+        own = own / (1.0 + mute_weight * F.coalesce("mute", F.lit(0.0)))
         scored = units.join(by_unit, "uid", "left").withColumn("own", own)
-        insts = scored.groupBy("inst").agg((F.sum(F.col("w") * F.col("own")) / (F.sum(F.when(F.col("own").isNotNull(), F.col("w"))) + DOUBT)).alias("inst_score"))
+        insts = scored.groupBy("inst").agg((F.sum(F.col("w") * F.col("own")) / (F.sum(F.when(F.col("own").isNotNull(), F.col("w"))) + DOUBT / 2)).alias("inst_score"))
         inst = F.coalesce("inst_score", F.lit(0.0))
         mixed = F.when(F.col("l1") == "<b>", F.greatest(F.coalesce("own", F.lit(0.0)), inst * edge_share)).when(F.size("features") == 0, inst).otherwise(F.coalesce("own", F.lit(0.0)) * (1 - spread) + inst * spread)
         state = cut(scored.join(insts, "inst").withColumn("score", F.coalesce("seed", mixed)))
@@ -282,8 +292,8 @@ def classify(places: DataFrame, lower: DataFrame, rounds: int = ROUNDS) -> DataF
     )
     units = units.withColumn("features", features)
     is_phone, is_id = F.col("inst").startswith("phone/"), F.col("inst").startswith("id_number/")
-    phone = _rounds(units, F.when(is_phone, 1).when(is_id, 0), rounds, 0.1, 0.15, 0.65, 1.0)
-    ident = _rounds(units, F.when(is_id, 1).when(is_phone, 0), rounds, 0.1, 0.1, 1.0, 1.0)
+    phone = _rounds(units, F.when(is_phone, 1).when(is_id, 0), rounds, 0.1, 0.15, 0.4, 1.0, 0.0)
+    ident = _rounds(units, F.when(is_id, 1).when(is_phone, 0), rounds, 0.1, 0.1, 1.0, 1.0, 0.0)
     # a number in a phone format that no pattern speaks against is a phone number
     shape = F.element_at(F.split("inst", "/"), 2)
     plain = shape.rlike(r"^(3[- .]3[- .]4|1[- .]3[- .]3[- .]4|3-4|10)$")
@@ -307,10 +317,11 @@ def classify(places: DataFrame, lower: DataFrame, rounds: int = ROUNDS) -> DataF
         lambda x: x.isNotNull(),
     )
     totals = units.groupBy("inst").agg(F.sum("n").alias("all"))
-    share = totals.join(lower, "inst", "left").select("inst", (F.coalesce("small", F.lit(0)) / (F.col("all") + F.coalesce("small", F.lit(0)))).alias("small_share"))
+    small = F.coalesce("small", F.lit(0))
+    share = totals.join(lower, "inst", "left").select("inst", F.when(small > 3, small / (F.col("all") + small)).otherwise(0.0).alias("small_share"))
     # words that are also written small are common words, whatever they stand beside
     units = cut(units.join(share, "inst").withColumn("features", features))
-    scored = _rounds(units, F.when(F.col("small_share") >= 0.2, 0).when(F.col("inst").isin(sorted(SEED_NAMES)), 1), rounds, 0.5, 0.1, 0.9, 0.9)
+    scored = _rounds(units, F.when(F.col("small_share") >= 0.2, 0).when(F.col("inst").isin(sorted(SEED_NAMES)), 1), rounds, 0.5, 0.1, 0.9, 0.9, 0.1)
     told = scored.where(F.col("score") >= ACCEPT_NAME).select(*keys)
     people = names.join(told, keys, "left_semi").select("tbl", "row_id", F.lit("person_name").alias("kind"), "start", "end").distinct()
     return final.unionByName(items).unionByName(people)
