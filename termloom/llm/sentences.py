@@ -46,6 +46,7 @@ _WORD = re.compile(r"[^\W_]+(?:[-'’.][^\W_]+)*")
 _DIGITS = re.compile(r"\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _THAI = re.compile(r"[฀-๿]")
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿。！？、「」『』（）]+(?=[^぀-ヿ㐀-鿿])")
 _VOWEL = re.compile(r"[aeiouyàâäáéèêëíìîïóòôöúùûüαεηιουωάέήίόύώаеёиоуыэюя]")
 
 
@@ -110,6 +111,8 @@ def _closing(text: str, end: int, start: int) -> str:
         end -= 1
     tail = text[max(start, end - 24) : end]
     last = tail.rsplit(None, 1)[-1] if tail.split() else ""
+    # a word in letters need not be set off by a blank from unspaced script before it
+    last = _UNSPACED.split(last)[-1] or last
     if _THAI.search(last):
         return last[-6:]
     last = _LEAD.sub("", last, count=1)
