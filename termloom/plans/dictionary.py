@@ -11,7 +11,7 @@ from termloom.operators import dictionary as D
 from termloom.operators import evidence as E
 from termloom.operators.packed import unpack
 from termloom.plans.text import PACKED, _values_sql, key_sql, toks_sql
-from termloom.session import table
+from termloom.session import as_integer, table
 
 #: What the string-search queries look for, by mode.
 SEARCHED = {"exact": "chronic rectum infarction", "words": "infarction rectum", "normalizedWords": "infarctions rectums", "normalizedString": "Chronic-Rectum INFARCTION", "leftTruncation": "tissue 7", "rightTruncation": "chronic"}
@@ -194,3 +194,4 @@ select cui, view, text_hash, row_number() over (partition by cui, view, text_has
 select term_id, row_number() over (partition by term_id order by length(definition), lower(definition), key) as place, definition from o qualify place <= 3""",
     "evidence_upsert": "select evidence_id, max(row_id) as row_id, arg_max(cui, row_id) as cui from evidence group by evidence_id",
 }
+SQL = as_integer(SQL, {"label_top3": "place", "concept_docs_topk": "place", "provenance_topn": "rank", "definitions_topk": "place"})

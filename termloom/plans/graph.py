@@ -10,7 +10,7 @@ from termloom.operators import graph as G
 from termloom.operators import incremental as I
 from termloom.operators.packed import unpack
 from termloom.plans.text import PACKED, _values_sql
-from termloom.session import table
+from termloom.session import as_integer, table
 
 _REL = ["row_id", "source_cui", "target_cui", "relation", "rela", "direction"]
 
@@ -239,3 +239,4 @@ select "group", stage, round(value - f, 6) as since_first, round(value - coalesc
     "coverage_share": "select view, count(distinct cui) as concepts, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share, count(*) / sum(count(*)) over () < 0.1 as thin from evidence group by 1",
     "query_sample": "select row_id, search_term from query_rows order by md5('7/' || row_id) limit 100",
 }
+SQL = as_integer(SQL, {"edges_topk": "place", "edges_views": "place"})

@@ -10,7 +10,7 @@ from termloom.operators import link as L
 from termloom.operators import rerank as R
 from termloom.operators import search as S
 from termloom.plans.text import key_sql, toks_sql
-from termloom.session import table
+from termloom.session import as_integer, table
 from termloom.streaming import events as EV
 
 
@@ -178,3 +178,4 @@ select user_id, min(ts) as start, max(ts) + interval '30 minutes' as "end", coun
     "top_customers": """select c_custkey, c_name, n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
 group by all order by revenue desc, c_custkey limit 20""",
 }
+SQL = as_integer(SQL, {"knn_search": "rank", "knn_embeddings": "rank", "neighbors_external": "place", "bm25_evidence": "place", "link_candidates": "n_tokens"})

@@ -33,3 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+def as_integer(sql: dict[str, str], columns: dict[str, str]) -> dict[str, str]:
+    """The SQL of some queries with one column each as a 4-byte integer, as Spark has places and sizes."""
+    return sql | {name: f"select * replace (cast({c} as integer) as {c}) from ({sql[name]})" for name, c in columns.items()}
