@@ -13,7 +13,7 @@ from termloom.llm.pieces import split_pieces
 from termloom.llm.sentences import split_sentences
 from termloom.llm.topn import top_n
 from termloom.llm.variants import canonical_key, collapse
-from termloom.session import table
+from termloom.session import as_integer, table
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     portal = table(spark, sf_dir, "search_quality_patient_portal_queries", "row_id", "query").select(F.lit("search_quality_patient_portal_queries").alias("tbl"), "row_id", F.col("query").alias("text"))
@@ -151,3 +151,4 @@ g as (select distinct item_id, array_to_string(w[k:k + 9], ' ') as s from (selec
 e as (select distinct doc_id, array_to_string(w[k:k + 9], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 8)) as k from d))
 select distinct doc_id, item_id from e join g using (s)""",
 }
+SQL = as_integer(SQL, {"p6_ranked": "top_rank"})
