@@ -37,16 +37,19 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
         return [(0, 0, len(text))]
     if not 0 <= overlap < limit - 1:
         raise ValueError("the overlap must be at least two tokens below the limit")
-    starts, ends = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
+    starts = np.array([a for a, _ in spans])
     n = len(spans)
     # gap g lies between tokens g-1 and g; its strength is that of the strongest boundary in it
     strength, place = np.zeros(n + 1, int), np.r_[0, starts[1:], len(text)]
-    for level, pattern in zip(range(len(_STRENGTHS), 0, -1), _STRENGTHS, strict=True):
-        for m in pattern.finditer(text):
-            # a match may run on into white space; the cut comes after it, in front of the next token
-            g = int(np.searchsorted(ends, m.start(), side="right"))
-            if 0 < g < n and m.start() >= ends[g - 1] and m.end() <= starts[g] and strength[g] < level:
-                strength[g], place[g] = level, _after(text, m.end(), starts[g])
+    known: dict[str, tuple[int, int]] = {}
+    for g in range(1, n):
+        e = spans[g - 1][1]
+        gap = text[e : spans[g][0]]
+        found = known.get(gap)
+        if found is None:
+            found = known[gap] = _boundary(gap)
+        if found[0]:
+            strength[g], place[g] = found[0], e + found[1]
     most = limit - overlap
     stack, parts = [(0, n)], []
     while stack:
@@ -66,10 +69,17 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     return out
 
 
-def _after(text: str, at: int, stop: int) -> int:
-    while at < stop and text[at].isspace():
-        at += 1
-    return at
+def _boundary(gap: str) -> tuple[int, int]:
+    """(strength, place) of the strongest boundary in what stands between two tokens: the cut comes after it and the
+    white space behind it."""
+    for level, pattern in zip(range(len(_STRENGTHS), 0, -1), _STRENGTHS, strict=True):
+        m = pattern.search(gap + "0")  # a token follows
+        if m and m.end() <= len(gap):
+            at = m.end()
+            while at < len(gap) and gap[at].isspace():
+                at += 1
+            return level, at
+    return 0, 0
 
 
 def split_pieces(df: DataFrame, id_column: str, text: str, keep: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
