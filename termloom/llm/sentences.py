@@ -30,7 +30,6 @@ BOUND = 4.0
 UNBALANCED, LENGTH_MEDIAN, LENGTH_SPREAD, LENGTH_WEIGHT = -6.0, 70.0, 1.3, 0.3
 
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r ])[^\S\n\r]*(?:(?:\r\n|[\n\r ])\s*)+| \s*")
-_CLOSERS = "\"'”’“»«›」』）)\\]】》〉"
 #: Marks that close, or where nothing but white space follows, marks that close in some languages and open in others.
 _CLOSING = r"(?:[\"'”’»」』）)\]】》〉]|[“«›](?=\s|$))"
 _CANDIDATE = re.compile(
@@ -43,6 +42,8 @@ _PAIR = dict(zip(_OPEN, _CLOSE, strict=True))
 _MARKS = re.compile("[" + re.escape(_OPEN + _CLOSE) + "\"“”]")
 _LEAD = re.compile(r"[\"'“”‘’«»„(\[{（「『《¿¡\s]*")
 _WORD = re.compile(r"[^\W_]+(?:[-'’.][^\W_]+)*")
+_SIX, _MARKED = re.compile(r"\S{1,6}"), re.compile(r"[^\s.,;:!?।]+")
+_END_MARKS = "\"'”’“»«›」』）)]】》〉"
 _DIGITS = re.compile(r"\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _THAI = re.compile(r"[฀-๿]")
@@ -51,6 +52,8 @@ _VOWEL = re.compile(r"[aeiouyàâäáéèêëíìîïóòôöúùûüαεηιο
 
 
 def _script(ch: str) -> str:
+    if ch.isascii():
+        return "cased" if ch.isalpha() else "digit" if ch.isdigit() else "other"
     if "฀" <= ch <= "๿":
         return "thai"
     if "぀" <= ch <= "ヿ" or "㐀" <= ch <= "鿿":
@@ -92,29 +95,30 @@ def _opening(text: str, at: int) -> str:
     if text[at].isdigit():
         m = _WORD.match(text, at)
         return "0" if m is None or m[0].isdigit() or not any(c.isalpha() for c in m[0]) else _DIGITS.sub("0", m[0])
-    s = _script(text[at])
+    s = "cased" if text[at].isascii() else _script(text[at])
     if s == "cjk":
         return text[at : at + 2]
     if s == "thai":
-        return re.compile(r"\S{1,6}").match(text, at)[0]
+        return _SIX.match(text, at)[0]
     m = _WORD.match(text, at)
     if m:
         return m[0] if m.end() - at < 40 else m[0][:40]
     # marks within words (Indic scripts) are no word characters of the engine
-    m = re.compile(r"[^\s.,;:!?।]+").match(text, at)
+    m = _MARKED.match(text, at)
     return m[0][:40] if m else text[at]
 
 
 def _closing(text: str, end: int, start: int) -> str:
     """What the text up to ``end`` closes with: its last word with its mark, lower case, digits as 0."""
-    while end > start and text[end - 1] in _CLOSERS.replace("\\", ""):
+    while end > start and text[end - 1] in _END_MARKS:
         end -= 1
     tail = text[max(start, end - 24) : end]
-    last = tail.rsplit(None, 1)[-1] if tail.split() else ""
-    # a word in letters need not be set off by a blank from unspaced script before it
-    last = _UNSPACED.split(last)[-1] or last
-    if _THAI.search(last):
-        return last[-6:]
+    last = (tail.rsplit(None, 1) or [""])[-1]
+    if not last.isascii():
+        # a word in letters need not be set off by a blank from unspaced script before it
+        last = _UNSPACED.split(last)[-1] or last
+        if _THAI.search(last):
+            return last[-6:]
     last = _LEAD.sub("", last, count=1)
     return _DIGITS.sub("0", last.lower())[-16:]
 
@@ -273,18 +277,21 @@ def learn(docs: DataFrame, text: str) -> dict:
 
 
 def _weight(model: dict, x: str, y: str, kind: str) -> float:
-    def odds(side: str, word: str, shape: float) -> float:
+    def odds(side: str, word: str, by_shape) -> float:
         known = model[side].get(word)
-        return math.log(shape / (1 - shape)) if known is None else known
+        if known is None:
+            shape = by_shape(word)
+            return math.log(shape / (1 - shape))
+        return known
 
-    opens = odds("open", y, _shape_open(y))
+    opens = odds("open", y, _shape_open)
     if kind == "full":
         return 8.0
     if kind == "mark":
         return 5.0 + min(opens, 0.0) * 1.2
     if kind in ("fullq", "markq"):  # the sentence may go on and report what was quoted
         return opens * 1.5 - 0.5
-    closes = odds("close", x, _shape_close(x))
+    closes = odds("close", x, _shape_close)
     if kind == "blank":
         return opens + closes - 0.5
     return opens + closes
