@@ -29,6 +29,9 @@ BOUND = 4.0
 #: Score of a span whose marks are unbalanced; spread of the length score.
 UNBALANCED, LENGTH_MEDIAN, LENGTH_SPREAD, LENGTH_WEIGHT = -6.0, 70.0, 1.3, 0.3
 
+#: Longest span of the dynamic programming, in candidates that are neither sure nor out of the question.
+MOST_UNDECIDED = 400
+
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r ])[^\S\n\r]*(?:(?:\r\n|[\n\r ])\s*)+| \s*")
 #: Marks that close, or where nothing but white space follows, marks that close in some languages and open in others.
 _CLOSING = r"(?:[\"'”’»」』）)\]】》〉]|[“«›](?=\s|$))"
@@ -63,27 +66,21 @@ def _script(ch: str) -> str:
 
 def _depths(text: str) -> list[tuple[int, int]]:
     """(position, change of nesting) of every quotation mark or bracket that has a partner."""
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int]] = []  # what would close each open mark, and where it stands
+    waiting: Counter = Counter()
     pairs = []
     for m in _MARKS.finditer(text):
         c, i = m[0], m.start()
-        if c == '"':
-            want = '"'
-            closes = any(s == '"' for s, _ in stack)
-        elif c == "“":
-            want, closes = "“", any(s == "“" for s, _ in stack)
-        elif c in _PAIR:
-            stack.append((_PAIR[c], i))
-            continue
-        else:
-            want, closes = c, True
-        if closes:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == want), -1)
-            if k >= 0:
-                pairs.append((stack[k][1], i))
-                del stack[k:]
-        else:
-            stack.append(("”" if c == "“" else '"', i))
+        if c in _PAIR or c in '"“' and not waiting[c]:
+            stack.append((_PAIR.get(c) or ("”" if c == "“" else '"'), i))
+            waiting[stack[-1][0]] += 1
+        elif waiting[c]:
+            while stack:  # marks inside that never closed have no partner
+                want, at = stack.pop()
+                waiting[want] -= 1
+                if want == c:
+                    pairs.append((at, i))
+                    break
     return sorted([(a, 1) for a, _ in pairs] + [(b, -1) for _, b in pairs])
 
 
@@ -319,7 +316,7 @@ def _select(a: int, b: int, spots: list[tuple[int, int, float, int]]) -> list[tu
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
     sure = 0  # no span reaches over a balanced candidate this strong
     for j in range(n):
-        for i in range(sure, j + 1):
+        for i in range(max(sure, j + 1 - MOST_UNDECIDED), j + 1):
             length = ends[j] - starts[i]
             if length <= 0:
                 continue
