@@ -121,56 +121,35 @@ def extract(text: str) -> Iterator[tuple]:
     """(kind, start, end, instance, left, left2, right) of everything that may be a personal item. kind is final for
     email and address; for 'number' and 'name' the graph decides."""
     t = flat(text)
-    taken = bytearray(len(t))
+    parts: list[tuple[int, int, str]] = []
+    shown = t
     for kind, pattern in (("email", _EMAIL), ("address", _ADDRESS)):
-        for m in pattern.finditer(t):
-            if not any(taken[m.start() : m.end()]):
-                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                yield kind, m.start(), m.end(), "", "", "", ""
-    tokens: list[tuple[str, int, int, str]] = []  # (text, start, end, class)
-    numbers = []
-    shown = "".join("\u25a0" if x else c for c, x in zip(t, taken, strict=True)) if any(taken) else t
+        for m in pattern.finditer(shown):
+            parts.append((m.start(), m.end(), "item"))
+            yield kind, m.start(), m.end(), "", "", "", ""
+        for a, b, _ in parts:
+            shown = f"{shown[:a]}{'\u25a0' * (b - a)}{shown[b:]}"
     for m in _NUMBER.finditer(shown):
-        # a long group of digits after a blank is a number of its own
         a = m.start()
         for part in _apart(m[0]):
             if _digits(part) >= 5:
-                numbers.append((a, a + len(part)))
-                taken[a : a + len(part)] = b"\2" * len(part)
+                parts.append((a, a + len(part), "number"))
             a += len(part)
+    tokens: list[tuple[str, int, int, str]] = []  # (text, start, end, class)
     at = 0
-    starts = dict(numbers)
-    while at < len(t):
-        if at in starts:
-            tokens.append((t[at : starts[at]], at, starts[at], "number"))
-            at = starts[at]
-            continue
-        if taken[at]:
-            b = at
-            while b < len(t) and taken[b] and b not in starts:
-                b += 1
-            tokens.append(("<item>", at, b, "item"))
-            at = b
-            continue
-        m = _TOKEN.match(t, at)
-        if m is None:
-            at += 1
-            continue
-        w, end = m[0], m.end()
-        while end > at and taken[end - 1]:
-            end -= 1
-        w = t[at:end]
-        at_end = end if end > at else at + 1
-        if w and w[0] in ".!?\n;":
-            last = tokens[-1] if tokens else None
-            short = last is not None and last[3] == "word" and last[2] == at and w == "." and (len(last[0]) <= 4 or last[0].lower() in TITLES)
-            if "\n" in w and tokens and w.strip("\n") == "":
-                tokens.append(("<b>", at, at_end, "end"))
-            elif not short:
-                tokens.append(("<b>", at, at_end, "end"))
-        elif w:
-            tokens.append((w, at, at_end, "word" if any(c.isalpha() for c in w) or w in "#№" else "digits"))
-        at = at_end
+    for a, b, c in [*sorted(parts), (len(t), len(t), "")]:
+        for m in _TOKEN.finditer(t, at, a):
+            w = m[0]
+            if w[0] in ".!?\n;":
+                last = tokens[-1] if tokens else None
+                # a point after a short word or a title does not end the sentence
+                if not (w == "." and last and last[3] == "word" and last[2] == m.start() and (len(last[0]) <= 4 or last[0].lower() in TITLES)):
+                    tokens.append(("<b>", m.start(), m.end(), "end"))
+            else:
+                tokens.append((w, m.start(), m.end(), "word" if any(map(str.isalpha, w)) or w in "#№" else "digits"))
+        if c:
+            tokens.append((t[a:b] if c == "number" else "<item>", a, b, c))
+        at = b
     words = [w for w, _, _, c in tokens if c == "word"]
     telling = any(len(w) > 2 and w[0].isupper() and w[1:].islower() for w in words)
 
