@@ -40,6 +40,8 @@ _CANDIDATE = re.compile(
     r"|(?P<mark>[.!?…‥؟۔।॥։።]+|(?<=[Ͱ-Ͽἀ-῿]);)(?P<c2>" + _CLOSING + r"*)(?P<g2>\s*)"
     r"|(?P<g4>(?:(?<=[฀-๿])\s+|\s+(?=[฀-๿])))"
 )
+#: A sign that any candidate but a Thai blank begins with.
+_SIGN = re.compile("[。！？｡.!?…‥؟۔।॥։;]")
 _OPEN, _CLOSE = "([{（【「『《〈«„", ")]}）】」』》〉»“"
 _PAIR = dict(zip(_OPEN, _CLOSE, strict=True))
 _MARKS = re.compile("[" + re.escape(_OPEN + _CLOSE) + "\"“”]")
@@ -139,10 +141,20 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
             at = m.end()
 
 
+def _matches(text: str, a: int, b: int) -> Iterator[re.Match]:
+    if _THAI.search(text, a, b):
+        yield from _CANDIDATE.finditer(text, a, b)
+        return
+    for sign in _SIGN.finditer(text, a, b):
+        if sign.start() >= a and (m := _CANDIDATE.match(text, sign.start(), b)):
+            a = m.end()
+            yield m
+
+
 def candidates(text: str, a: int, b: int) -> list[tuple[int, int, str, str, int, str]]:
     """(end, next start, closing, opening, depth, kind) of every place in text[a:b] where a sentence could end."""
     marks, k, depth, out = _depths(text[a:b]), 0, 0, []
-    for m in _CANDIDATE.finditer(text, a, b):
+    for m in _matches(text, a, b):
         kind = m.lastgroup
         if m["full"]:
             end, nxt = m.end("c1"), m.end("g1")
