@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.operators import link as L
 from termloom.operators import resolve as RS
+from termloom.operators import service as SV
 from termloom.operators.packed import unpack
+from termloom.plans.dictionary import _ORDER
 from termloom.plans.search import _EXT, _NAMES, _named, neighbors_external
 from termloom.plans.text import PACKED, _values_sql, key_sql, toks_sql
 from termloom.session import as_integer, table
@@ -151,9 +153,19 @@ def label_fit(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels", "label").groupBy(why.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+def search_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-k report: the first page of a word search among visible labels."""
+    found = SV.answer(table(spark, sf, "labels"), SV.Request("rectum infarction"))
+    return found.select("place", "row_id", "cui", "label")
+
+
+def label_hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return SV.hash_vectors(table(spark, sf, "labels", "row_id", "label"), "row_id", "label")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (resolve_text, mentions_maximal, mentions_scored, labels_in_vectors, label_problems, lists_compared, source_contribution, literature_relations, unit_decisions, cross_source_support, candidates_merged, label_variants, relation_kinds, snippets_ranked, verdicts, label_backfill, label_fit)
+    for f in (resolve_text, mentions_maximal, mentions_scored, labels_in_vectors, label_problems, lists_compared, source_contribution, literature_relations, unit_decisions, cross_source_support, candidates_merged, label_variants, relation_kinds, snippets_ranked, verdicts, label_backfill, label_fit, search_page, label_hash_vectors)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -206,6 +218,8 @@ h as (select len(list_intersect(e, c)) / greatest(len(e), 1) as hit, len(list_in
 select case when hit >= 0.8 and bad = 0 then 'good' when hit > 0 or bad = 0 then 'mixed' else 'poor' end as verdict, count(*) as n from h group by 1""",
     "label_backfill": f"""with t as (select cui, sab, tty, label, min(norm) as given from labels where norm is not null and trim(norm, ' ') <> '' and label is not null group by all)
 select row_id, coalesce(given, {key_sql('l.label')}) as norm from labels l left join t on l.cui = t.cui and l.sab = t.sab and l.tty = t.tty and l.label = t.label where norm is null or trim(norm, ' ') = ''""",
+    "search_page": f"""with b as (select cui, row_id, label from labels where label is not null and suppress = 'N' and list_contains({toks_sql('label')}, 'rectum') and list_contains({toks_sql('label')}, 'infarction') qualify row_number() over (partition by cui order by {_ORDER}) = 1)
+select row_number() over (order by case when lower(label) = 'rectum infarction' then 0 else 1 end, length(label), label, row_id) as place, row_id, cui, label from b qualify place <= 25""",
     "label_fit": f"""with k as (select {key_sql('label')} as k from labels) select case when coalesce(k, '') = '' then 'empty' when not regexp_matches(k, '[a-z]') then 'no_letter' when len(string_split(k, ' ')) = 1 and length(k) < 4 then 'short' when len(string_split(k, ' ')) > 6 then 'long' else 'fit' end as verdict, count(*) as n from k group by 1""",
 }
-SQL = as_integer(SQL, {"resolve_text": "score", "mentions_maximal": "n_tokens", "snippets_ranked": "place"})
+SQL = as_integer(SQL, {"resolve_text": "score", "mentions_maximal": "n_tokens", "snippets_ranked": "place", "search_page": "place"})
