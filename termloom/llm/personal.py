@@ -80,6 +80,7 @@ _ADDRESS = re.compile(
     re.I,
 )
 _NUMBER = re.compile(r"(?<![\w.@/-])(?:[A-Za-z]{1,3}-?)?(?:\+|00)?\(?\d(?:\d|(?:[ .\-/]{1,2}|\)[ -]{0,2}|[ -]{0,2}\()(?=[\d(]))*[A-Za-z]?(?![\w@])(?:\s{0,2}(?:ext\.?|x)\s{0,2}\d{1,5}\b)?")
+_DIGIT, _AT_HINT = re.compile(r"\d"), re.compile(r"@|\bat\b", re.I)
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[#№]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*#?|[#№]|[.!?\n;]+")
@@ -123,13 +124,14 @@ def extract(text: str) -> Iterator[tuple]:
     t = flat(text)
     parts: list[tuple[int, int, str]] = []
     shown = t
-    for kind, pattern in (("email", _EMAIL), ("address", _ADDRESS)):
-        for m in pattern.finditer(shown):
+    numeric = _DIGIT.search(t) is not None  # addresses and numbers hold digits
+    for kind, pattern, may in (("email", _EMAIL, _AT_HINT.search(t)), ("address", _ADDRESS, numeric)):
+        for m in pattern.finditer(shown) if may else ():
             parts.append((m.start(), m.end(), "item"))
             yield kind, m.start(), m.end(), "", "", "", ""
         for a, b, _ in parts:
             shown = f"{shown[:a]}{'\u25a0' * (b - a)}{shown[b:]}"
-    for m in _NUMBER.finditer(shown):
+    for m in _NUMBER.finditer(shown) if numeric else ():
         a = m.start()
         for part in _apart(m[0]):
             if _digits(part) >= 5:
