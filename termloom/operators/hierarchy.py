@@ -12,7 +12,7 @@ graph of their ends and carried back to the terms through the ranges.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +42,28 @@ def parent_links(terms: DataFrame, term: str = "term_id", parents: str = "parent
 @dataclass
 class Hierarchy:
     """forest: node, root, depth, path (root first, the node last), lft, rgt (descendants are the nodes with
-    lft < their lft < rgt), is_root (the root has no parents at all). reach: node, root, depth, the fewest links
-    to each root. cyclic: node, of every term that is its own ancestor."""
+    lft < their lft < rgt), is_root (the root has no parents at all). hubs: the terms with side links, with their
+    ranges. ends: node, parent and the parent's place, of each side link. hops: from hub to hub over a side link.
+    reach: node, root, depth, the fewest links to each root. cyclic: node, of every term that is its own ancestor.
+    What a query does not ask for is not solved."""
 
     forest: DataFrame
-    reach: DataFrame
-    cyclic: DataFrame
+    hubs: DataFrame
+    ends: DataFrame
+    hops: DataFrame
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        known = self.forest.select("node", "lft", "depth", "root", "is_root")
+        start = self.ends.where("end_real").groupBy("node", F.col("end_root").alias("root")).agg((1 + F.min("end_depth")).alias("depth"))
+        best = _shortest(cut(start), self.hops)
+        over = _enclosing(known.select("node", F.col("lft").alias("at"), F.col("depth").alias("own")), self.hubs).select("node", "hub", (F.col("own") - F.col("hub_depth")).alias("up"))
+        via = over.join(best.select(F.col("node").alias("hub"), "root", F.col("depth").alias("rest")), "hub").select("node", "root", (F.col("up") + F.col("rest")).alias("depth"))
+        return cut(known.where("is_root").select("node", "root", "depth").unionByName(via).groupBy("node", "root").agg(F.min("depth").cast("int").alias("depth")))
+
+    @cached_property
+    def cyclic(self) -> DataFrame:
+        return cut(_on_cycles(self.forest, self.hops))
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
@@ -62,20 +78,24 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
     ends = side.join(known.select(F.col("node").alias("parent"), F.col("lft").alias("at"), F.col("depth").alias("end_depth"), F.col("root").alias("end_root"), F.col("is_root").alias("end_real")), "parent")
     # hub -> hub: over a side link, then up the forest to a term that has a side link itself
     hops = cut(_enclosing(ends.select("node", "parent", "at", "end_depth"), hubs).select(F.col("node").alias("src"), F.col("hub").alias("dst"), "parent", F.col("hub_depth").alias("dst_depth"), (1 + F.col("end_depth") - F.col("hub_depth")).alias("w")))
-    start = ends.where("end_real").groupBy("node", F.col("end_root").alias("root")).agg((1 + F.min("end_depth")).alias("depth"))
-    best = _shortest(cut(start), hops)
-    over = _enclosing(known.select("node", F.col("lft").alias("at"), F.col("depth").alias("own")), hubs).select("node", "hub", (F.col("own") - F.col("hub_depth")).alias("up"))
-    via = over.join(best.select(F.col("node").alias("hub"), "root", F.col("depth").alias("rest")), "hub").select("node", "root", (F.col("up") + F.col("rest")).alias("depth"))
-    reach = known.where("is_root").select("node", "root", "depth").unionByName(via).groupBy("node", "root").agg(F.min("depth").cast("int").alias("depth"))
-    return Hierarchy(forest, cut(reach), cut(_on_cycles(forest, hops)))
+    return Hierarchy(forest, hubs, ends, hops)
 
 
 def descendants(h: Hierarchy) -> DataFrame:
-    """(node, descendant, distance) along the forest: every pair of a term and one below it, from the ranges.
-    Terms reached only over a side link are found by their own parents' rows; see ``Hierarchy.reach``."""
-    below = h.forest.select("node", F.col("lft").alias("at"), F.col("depth").alias("own"))
-    pairs = _enclosing(below, h.forest).where("node <> hub")
-    return pairs.select(F.col("hub").alias("node"), F.col("node").alias("descendant"), (F.col("own") - F.col("hub_depth")).cast("int").alias("distance"))
+    """(node, descendant, distance) over all links: every pair of a term and another one below it, once, with the
+    fewest links between them.
+
+    Along the forest the ranges tell. Any other way climbs from the descendant to a hub, goes on from hub to hub
+    and at last over a side link and up the forest to the ancestor.
+    """
+    points = h.forest.select("node", F.col("lft").alias("at"), F.col("depth").alias("own"))
+    along = _enclosing(points, h.forest).select(F.col("hub").alias("above"), "node", (F.col("own") - F.col("hub_depth")).alias("distance"))
+    last = _enclosing(h.ends.select("node", "at", "end_depth"), h.forest).groupBy("node", F.col("hub").alias("root")).agg(F.min(1 + F.col("end_depth") - F.col("hub_depth")).alias("depth"))
+    best = _shortest(cut(last), h.hops).select(F.col("node").alias("hub"), F.col("root").alias("above"), F.col("depth").alias("rest"))
+    over = _enclosing(points, h.hubs).select("node", "hub", (F.col("own") - F.col("hub_depth")).alias("up"))
+    via = over.join(best, "hub").select("above", "node", (F.col("up") + F.col("rest")).alias("distance"))
+    pairs = along.unionByName(via).where("above <> node").groupBy("above", "node").agg(F.min("distance").cast("int").alias("distance"))
+    return pairs.select(F.col("above").alias("node"), F.col("node").alias("descendant"), "distance")
 
 
 def _loop_heads(first: DataFrame) -> DataFrame:
@@ -154,7 +174,7 @@ def _enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _shortest(start: DataFrame, hops: DataFrame) -> DataFrame:
-    """Fewest links from each hub to each root it leads to, relaxed from the last improvements only."""
+    """Fewest links from each hub to each root (or other term) it leads to, relaxed from the last improvements only."""
     best = fresh = start
     back = hops.groupBy("src", "dst").agg(F.min("w").alias("w"))
     while fresh.limit(1).count():

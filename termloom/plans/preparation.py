@@ -27,8 +27,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, depth, root and number of descendants of each term along its first parents."""
-    return _solved(spark, sf_dir).forest.select(F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), (F.col("rgt") - F.col("lft") - 1).alias("n_descendants"), (~F.col("is_root")).alias("in_loop"))
+    """Path, depth and root of each term along its first parents (p7_found has every root and its fewest links),
+    and its number of descendants over all links."""
+    h = _solved(spark, sf_dir)
+    below = descendants(h).groupBy("node").agg(F.count("*").alias("n"))
+    return h.forest.join(below, "node", "left").select(F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("n_descendants"), (~F.col("is_root")).alias("in_loop"))
 
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

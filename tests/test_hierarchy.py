@@ -63,3 +63,39 @@ def test_uneven_entries_and_empty(spark):
     assert [r.node for r in h.cyclic.collect()] == ["X:3"]
     none = hierarchy(*parent_links(df.limit(0)))
     assert none.reach.count() == none.cyclic.count() == none.forest.count() == descendants(none).count() == 0
+
+
+def below(par):
+    """{(ancestor, descendant): fewest links} over all links, by search from every term."""
+    out = {}
+    for t in par:
+        d, fr = {t: 0}, [t]
+        for x in fr:
+            for p in par[x]:
+                if p not in d:
+                    d[p] = d[x] + 1
+                    fr.append(p)
+        out |= {(a, t): n for a, n in d.items() if a != t}
+    return out
+
+
+@pytest.mark.parametrize("seed,n,back", [(4, 90, 0), (5, 70, 6)])
+def test_descendants_over_all_links(spark, seed, n, back):
+    rnd = random.Random(seed)
+    name = lambda i: f"T:{i:04d}"
+    par = {name(i): {name(rnd.randrange(max(0, i - 9), i)) for _ in range(rnd.choice([1, 1, 2, 3]))} if i > 2 else set() for i in range(n)}
+    for _ in range(back):
+        a, b = sorted(rnd.sample(range(n), 2))
+        par[name(a)].add(name(b))
+    h = hierarchy(*parent_links(spark.createDataFrame([(t, list(ps)) for t, ps in par.items()], "term_id string, parents array<string>")))
+    got = descendants(h).collect()
+    want = below(par)
+    assert len(got) == len(want) and {(r.node, r.descendant): r.distance for r in got} == want
+
+
+def test_path_rows_count_descendants_over_second_parents(spark, tmp_path):
+    from termloom.plans.preparation import p7_paths
+
+    rows = [("D:1", []), ("D:2", ["D:1"]), ("D:3", ["D:1"]), ("D:4", ["D:2", "D:3"]), ("D:5", ["D:4"])]
+    spark.createDataFrame(rows, "term_id string, parents array<string>").write.parquet(f"{tmp_path}/obo_terms.parquet")
+    assert {r.term_id: r.n_descendants for r in p7_paths(spark, str(tmp_path)).collect()} == {"D:1": 4, "D:2": 2, "D:3": 2, "D:4": 1, "D:5": 0}
