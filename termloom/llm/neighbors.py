@@ -4,6 +4,9 @@ Unit vectors are projected to a few dimensions by several random rotations, shif
 Hilbert curve of each projection. In the dense order every block of rows, with a margin from its neighbours, is
 scored exactly; the best of all curves are merged and ranked. Blocks are cut by position, so they are equally
 large however the vectors are spread, and the work grows in proportion to the rows.
+
+Vectors of one direction would fill whole blocks, so only one of each direction is put on the curves. The others
+are brought in afterwards, exactly: of any direction only the k + 1 smallest ids can be among a row's best.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.cumulative import running_total
@@ -70,12 +73,24 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _direction(v: Column) -> list[Column]:
+    """A 128-bit digest of a vector's direction. Quotients of 32-bit floats that differ at all differ in 64 bits, so
+    the numbers divided by the largest agree exactly where the directions do."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform(v, lambda x: x.cast("double") / top + F.lit(0.0))  # -0 becomes 0
+    return [F.xxhash64(F.lit(i), scaled).alias(f"d{i}") for i in (1, 2)]
+
+
 def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7) -> DataFrame:
     """(row_id, neighbor, score, rank) of the ``k`` rows of highest cosine similarity to each row of ``vectors``
     (row_id unique, v), itself left out; ties go to the smaller id. Fewer than ``k`` come out only where there
     are no more rows. An empty table gives no rows."""
-    vectors = cut(vectors)
-    spark = vectors.sparkSession
+    rows = cut(vectors.select("row_id", "v", *_direction(F.col("v"))))
+    spark = rows.sparkSession
+    place = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("row_id"))
+    groups = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("d1", "d2").agg(F.min("row_id").alias("row_id"), F.min_by("v", "row_id").alias("v"), F.sort_array(F.collect_list("row_id")).alias("ids"))
+    groups = cut(groups)
+    vectors = groups.select("row_id", "v")
     fit = vectors.orderBy(F.xxhash64("row_id"), "row_id").limit(FIT_ROWS).toPandas()
     if not len(fit):
         return spark.createDataFrame([], "row_id long, neighbor long, score double, rank int")
@@ -121,7 +136,15 @@ def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7)
     # the same pair may differ in its last bits from block to block, so pairs are told apart by id alone
     pairs = merged.select("row_id", F.explode("near").alias("n")).groupBy("row_id", F.col("n.neighbor").alias("neighbor")).agg(F.max("n.score").alias("score"))
     ranked = pairs.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "neighbor"))), 1, k).alias("best"))
-    return ranked.select("row_id", F.posexplode("best").alias("p", "b")).select("row_id", F.col("b.neighbor").alias("neighbor"), (-F.col("b.s")).alias("score"), (F.col("p") + 1).alias("rank"))
+    others = ranked.select("row_id", F.explode("best").alias("b")).select("row_id", F.col("b.neighbor").alias("first"), F.greatest(F.col("b.s"), F.lit(-1.0)).alias("s"))
+    near = others.unionByName(groups.select("row_id", F.col("row_id").alias("first"), F.lit(-1.0).alias("s")))
+    members = near.join(groups.select(F.col("row_id").alias("first"), "ids"), "first").select("row_id", "s", F.explode("ids").alias("neighbor"))
+    # one more than k, since a row is not its own neighbour
+    lists = members.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "neighbor"))), 1, k + 1).alias("best"))
+    by_direction = groups.select("d1", "d2", "row_id").join(lists, "row_id").select("d1", "d2", "best")
+    own = F.slice(F.filter("best", lambda b: b["neighbor"] != F.col("row_id")), 1, k)
+    told = rows.select("row_id", "d1", "d2").join(by_direction, ["d1", "d2"])
+    return told.select("row_id", F.posexplode(own).alias("p", "b")).select("row_id", F.col("b.neighbor").alias("neighbor"), (-F.col("b.s")).alias("score"), (F.col("p") + 1).alias("rank"))
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:

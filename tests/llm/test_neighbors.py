@@ -41,3 +41,20 @@ def test_all_the_same(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1500)], "row_id long, v array<float>")
     got = nearest(df, 5)
     assert got.count() == 7500 and got.where("abs(score - 1) > 1e-9 or row_id = neighbor").count() == 0
+
+
+def test_large_groups_of_one_direction(spark):
+    rng = np.random.default_rng(5)
+    few = rng.integers(-9, 10, (4, 8)).astype(float)
+    few[:, 0] = 1.0
+    which = rng.permutation(np.repeat([0, 1, 2, 3], [1500, 1000, 4, 1]))
+    x = few[which] * rng.integers(1, 4, len(which))[:, None]
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, v array<float>"), 5).collect():
+        got.setdefault(r.row_id, {})[r.rank] = r.neighbor
+    u = few / np.linalg.norm(few, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, 2.0)
+    by_group = [np.lexsort((np.arange(len(which)), -sims[g][which])) for g in range(4)]
+    for i, g in enumerate(which):
+        assert [got[i][p] for p in range(1, 6)] == [int(j) for j in by_group[g] if j != i][:5]
