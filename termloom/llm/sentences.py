@@ -2,8 +2,8 @@
 
 Blank lines always end a unit. Within a paragraph every place where a sentence could end (a mark, or in Thai a
 blank) is a candidate, and semi-Markov dynamic programming picks the set of whole spans whose scores add up best.
-A span is scored by its length, the word it opens with, the word it closes with, and whether its quotation marks
-and brackets are balanced. What opens and closes sentences is learned from the corpus itself, without labels:
+A span is scored by its length, the word it opens with and the word it closes with; none ends inside paired quotation
+marks or brackets. What opens and closes sentences is learned from the corpus itself, without labels:
 words next to the edges of paragraphs surely open or close one, and are weighed against all their candidates.
 """
 
@@ -26,8 +26,8 @@ LOW_SHARE = 0.15
 PRIOR_WEIGHT = 4.0
 #: Log-odds of one side are kept within this bound.
 BOUND = 4.0
-#: Score of a span whose marks are unbalanced; spread of the length score.
-UNBALANCED, LENGTH_MEDIAN, LENGTH_SPREAD, LENGTH_WEIGHT = -6.0, 70.0, 1.3, 0.3
+#: Middle, spread and weight of the length score.
+LENGTH_MEDIAN, LENGTH_SPREAD, LENGTH_WEIGHT = 70.0, 1.3, 0.3
 
 #: Longest span of the dynamic programming, in candidates that are neither sure nor out of the question.
 MOST_UNDECIDED = 400
@@ -312,31 +312,32 @@ def sentences(text: str, model: dict) -> list[tuple[int, int]]:
     for a, b in paragraphs(text):
         spots = []
         for end, nxt, x, y, depth, kind in candidates(text, a, b):
+            if depth:  # what stands in paired marks is not divided, however many sentences it has
+                continue
             w = _weight(model, x, y, kind)
             if w > -BOUND - 0.5:
-                spots.append((end, nxt, w, depth))
+                spots.append((end, nxt, w))
         out += _select(a, b, spots)
     return out
 
 
-def _select(a: int, b: int, spots: list[tuple[int, int, float, int]]) -> list[tuple[int, int]]:
-    starts = [a, *(s for _, s, _, _ in spots)]
-    ends = [*(e for e, _, _, _ in spots), b]
-    gain = [*(w for _, _, w, _ in spots), 0.0]
-    level = [0, *(d for _, _, _, d in spots), 0]
+def _select(a: int, b: int, spots: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    starts = [a, *(s for _, s, _ in spots)]
+    ends = [*(e for e, _, _ in spots), b]
+    gain = [*(w for _, _, w in spots), 0.0]
     n = len(ends)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    sure = 0  # no span reaches over a balanced candidate this strong
+    sure = 0  # no span reaches over a candidate this strong
     for j in range(n):
         for i in range(max(sure, j + 1 - MOST_UNDECIDED), j + 1):
             length = ends[j] - starts[i]
             if length <= 0:
                 continue
             z = (math.log(length) - math.log(LENGTH_MEDIAN)) / LENGTH_SPREAD
-            s = best[i] + gain[j] - LENGTH_WEIGHT * z * z / 2 + (UNBALANCED if level[i] != level[j + 1] else 0.0)
+            s = best[i] + gain[j] - LENGTH_WEIGHT * z * z / 2
             if s > best[j + 1]:
                 best[j + 1], back[j + 1] = s, i
-        if gain[j] > 6.5 and level[j + 1] == 0 and best[j + 1] > -math.inf:
+        if gain[j] > 6.5 and best[j + 1] > -math.inf:
             sure = j + 1
     out, j = [], n
     while j:

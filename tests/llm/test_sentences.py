@@ -53,3 +53,17 @@ def test_rows(spark):
     n = {r.doc_id: r["count"] for r in got.collect()}
     assert set(n) == {1, 5, 6, 7} and n[5] == n[6] == 1 and n[1] in (2, 4)
     assert split_sentences(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["她说：「今天不痛。昨天也不痛。睡得很好。食欲正常。」然后离开。", "随访已结束。"],
+        ["患者写道（今天不痛。昨天也不痛。睡得很好。食欲正常）。", "随访已结束。"],
+        ['One nurse wrote: "No pain today! Slept well! Ate well! Walked far!" in the chart.', "Was it gout?"],
+        ["The list (Was it safe? Was it fast? Was it cheap? Was it new?) was long.", "Nobody answered!"],
+    ],
+)
+def test_marks_with_many_sentences_are_not_divided(units):
+    text = ("" if units[0][0] > "぀" else " ").join(units)
+    assert [text[a:b] for a, b in sentences(text, EMPTY)] == units
