@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ BOUND = 4.0
 #: Middle, spread and weight of the length score.
 LENGTH_MEDIAN, LENGTH_SPREAD, LENGTH_WEIGHT = 70.0, 1.3, 0.3
 
-#: Longest span of the dynamic programming, in candidates that are neither sure nor out of the question.
-MOST_UNDECIDED = 400
+#: Starts of a span from which they are scored as one array.
+MANY_STARTS = 64
 
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r ])[^\S\n\r]*(?:(?:\r\n|[\n\r ])\s*)+| \s*")
 #: Marks that close, or where nothing but white space follows, marks that close in some languages and open in others.
@@ -327,9 +328,19 @@ def _select(a: int, b: int, spots: list[tuple[int, int, float]]) -> list[tuple[i
     gain = [*(w for _, _, w in spots), 0.0]
     n = len(ends)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    firsts, scores = np.array(starts, dtype=np.float64), np.full(n + 1, -np.inf)  # starts and best as arrays
+    scores[0] = 0.0
     sure = 0  # no span reaches over a candidate this strong
     for j in range(n):
-        for i in range(max(sure, j + 1 - MOST_UNDECIDED), j + 1):
+        many = j + 1 - sure > MANY_STARTS
+        if many:
+            length = ends[j] - firsts[sure : j + 1]
+            z = (np.log(np.maximum(length, 1.0)) - math.log(LENGTH_MEDIAN)) / LENGTH_SPREAD
+            s = np.where(length > 0, scores[sure : j + 1] + gain[j] - LENGTH_WEIGHT * z * z / 2, -np.inf)
+            i = int(s.argmax())
+            if s[i] > -math.inf:
+                best[j + 1], back[j + 1] = float(s[i]), sure + i
+        for i in () if many else range(sure, j + 1):
             length = ends[j] - starts[i]
             if length <= 0:
                 continue
@@ -337,6 +348,7 @@ def _select(a: int, b: int, spots: list[tuple[int, int, float]]) -> list[tuple[i
             s = best[i] + gain[j] - LENGTH_WEIGHT * z * z / 2
             if s > best[j + 1]:
                 best[j + 1], back[j + 1] = s, i
+        scores[j + 1] = best[j + 1]
         if gain[j] > 6.5 and best[j + 1] > -math.inf:
             sure = j + 1
     out, j = [], n

@@ -67,3 +67,9 @@ def test_rows(spark):
 def test_marks_with_many_sentences_are_not_divided(units):
     text = ("" if units[0][0] > "぀" else " ").join(units)
     assert [text[a:b] for a, b in sentences(text, EMPTY)] == units
+
+
+def test_unit_of_many_undecided_candidates_is_whole():
+    from termloom.llm.sentences import _select
+
+    assert _select(0, 6000, [(10 * i, 10 * i + 1, -4.0) for i in range(1, 600)]) == [(0, 6000)]
