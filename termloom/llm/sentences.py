@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words the model holds, those with most candidates; rarer ones are judged by their shape.
+from termloom.session import cut
+
+#: Words of the model that are sent to every executor, those with most candidates; the counts of all others reach
+#: the documents that hold them by a join.
 MODEL_WORDS = 200_000
 LEAST_COUNT = 3
 LOW_SHARE = 0.15
@@ -100,27 +103,31 @@ def _opening(text: str, at: int) -> str:
         return text[at : at + 2]
     if s == "thai":
         return _SIX.match(text, at)[0]
-    m = _WORD.match(text, at)
-    if m:
-        return m[0] if m.end() - at < 40 else m[0][:40]
     # marks within words (Indic scripts) are no word characters of the engine
-    m = _MARKED.match(text, at)
-    return m[0][:40] if m else text[at]
+    m = _WORD.match(text, at) or _MARKED.match(text, at)
+    return m[0] if m else text[at]
 
 
 def _closing(text: str, end: int, start: int) -> str:
-    """What the text up to ``end`` closes with: its last word with its mark, lower case, digits as 0."""
+    """What the text up to ``end`` closes with: its last word with its mark, lower case, digits as 0; of scripts
+    without blanks the last six signs."""
     while end > start and text[end - 1] in _END_MARKS:
         end -= 1
-    tail = text[max(start, end - 24) : end]
-    last = (tail.rsplit(None, 1) or [""])[-1]
+    reach = 24
+    while True:
+        tail = text[max(start, end - reach) : end]
+        cut_off = tail.rsplit(None, 1)
+        if len(cut_off) == 2 or end - reach <= start:
+            break
+        reach *= 2
+    last = (cut_off or [""])[-1]
     if not last.isascii():
         # a word in letters need not be set off by a blank from unspaced script before it
         last = _UNSPACED.split(last)[-1] or last
-        if _THAI.search(last):
+        if _THAI.search(last) or _CJK.search(last[-2:]):
             return last[-6:]
     last = _LEAD.sub("", last, count=1)
-    return _DIGITS.sub("0", last.lower())[-16:]
+    return _DIGITS.sub("0", last.lower())
 
 
 def _class(word: str) -> str:
@@ -226,7 +233,13 @@ def _shape_close(word: str) -> float:
 
 
 def learn(docs: DataFrame, text: str) -> dict:
-    """Counts of opening and closing words over all documents, reduced to the model: log-odds by word."""
+    """The model of the words with most candidates."""
+    return _learn(docs, text)[0]
+
+
+def _learn(docs: DataFrame, text: str) -> tuple[dict, DataFrame | None]:
+    """Counts of opening and closing words over all documents, reduced to the model: log-odds by word, and the counts
+    (side, word, hits, total) of the words beyond the first MODEL_WORDS, if there are any."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits: Counter = Counter()
@@ -261,29 +274,38 @@ def learn(docs: DataFrame, text: str) -> dict:
         yield flush()
 
     chosen = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null")
-    counts = chosen.mapInPandas(count, "side string, word string, hits long, total long").groupBy("side", "word").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
-    top = counts.where(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), "side", "word").limit(MODEL_WORDS).collect()
+    counts = cut(chosen.mapInPandas(count, "side string, word string, hits long, total long").groupBy("side", "word").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total")).where(F.col("total") >= LEAST_COUNT))
     # words that always open (close) sentences have about one share of sure cases; most hits are theirs, so a low
     # quantile of the shares, by hits, lies below nearly all of them and above the words that rarely do
+    cls = F.when(F.col("word").rlike(_THAI.pattern), "thai").when(F.col("word").rlike(_CJK.pattern), "cjk").otherwise("all")
+    shares = counts.where("hits > 0").groupBy("side", cls.alias("cls"), F.round(F.col("hits") / F.col("total"), 4).alias("share")).agg(F.sum("hits").alias("hits")).collect()  # at most 60,006 rows
     rate = {}
     for side in ("open", "close"):
-        for cls in ("all", "thai", "cjk"):
-            own = sorted((r.hits / r.total, r.hits) for r in top if r.side == side and _class(r.word) == cls and r.hits)
+        for kind in ("all", "thai", "cjk"):
+            own = sorted((r.share, r.hits) for r in shares if r.side == side and r.cls == kind)
             part, enough = 0, sum(h for _, h in own) * LOW_SHARE
-            rate[side, cls] = 0.2
+            rate[side, kind] = 0.2
             for share, h in own:
                 part += h
                 if part >= enough:
-                    rate[side, cls] = share
+                    rate[side, kind] = max(share, 0.0001)
                     break
+    top = counts.orderBy(F.desc("total"), "side", "word").limit(MODEL_WORDS).collect()
     model: dict = {"open": {}, "close": {}, "rate": rate}
     for r in top:
-        shape = _shape_open(r.word) if r.side == "open" else _shape_close(r.word)
-        base = rate[r.side, _class(r.word)]
-        p = min((r.hits + PRIOR_WEIGHT * shape * base) / (r.total + PRIOR_WEIGHT) / base, 0.999)
-        # many candidates and never a sure one speak louder than the ratio alone
-        model[r.side][r.word] = max(-BOUND, min(BOUND, math.log(p / (1 - p))))
-    return model
+        model[r.side][r.word] = _odds(rate, r.side, r.word, r.hits, r.total)
+    if len(top) < MODEL_WORDS:
+        return model, None
+    last = F.struct((-F.lit(top[-1].total)).alias("total"), F.lit(top[-1].side).alias("side"), F.lit(top[-1].word).alias("word"))
+    return model, counts.where(F.struct((-F.col("total")).alias("total"), "side", "word") > last)
+
+
+def _odds(rate: dict, side: str, word: str, hits: int, total: int) -> float:
+    shape = _shape_open(word) if side == "open" else _shape_close(word)
+    base = rate[side, _class(word)]
+    p = min((hits + PRIOR_WEIGHT * shape * base) / (total + PRIOR_WEIGHT) / base, 0.999)
+    # many candidates and never a sure one speak louder than the ratio alone
+    return max(-BOUND, min(BOUND, math.log(p / (1 - p))))
 
 
 def _weight(model: dict, x: str, y: str, kind: str) -> float:
@@ -364,14 +386,45 @@ def split_sentences(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     no white space at either edge.
 
     Null, empty and blank texts have no sentences; a text without any mark is one. Repeated rows give theirs each.
-    Other columns play no part. The model is learned from the texts given.
+    Other columns play no part. The model is learned from the texts given, by jobs that run while the plan is built.
     """
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs, text))
+    model, rest = _learn(docs, text)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, start_pos int, end_pos int"
+    chosen = docs.select(F.col(f"`{id_column}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, a, b) for d, t in zip(batch["d"], batch["t"], strict=True) for a, b in sentences(t, held.value)]
             yield pd.DataFrame(rows, columns=[id_column, "start_pos", "end_pos"])
 
-    chosen = docs.select(F.col(f"`{id_column}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t is not null")
-    return chosen.mapInPandas(run, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, start_pos int, end_pos int")
+    if rest is None:
+        return chosen.mapInPandas(run, schema)
+
+    def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["k"], batch["t"], strict=True):
+                places = [c for a, b in paragraphs(t) for c in candidates(t, a, b) if not c[4]]
+                words = {("close", c[2]) for c in places} | {("open", c[3]) for c in places}
+                rows += [(k, side, w) for side, w in words if w not in model[side]]
+            yield pd.DataFrame(rows, columns=["k", "side", "word"])
+
+    def run_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        for batch in batches:
+            rows = []
+            for d, t, more in zip(batch["d"], batch["t"], batch["more"], strict=True):
+                own = {"open": {}, "close": {}}
+                for r in more if more is not None else ():
+                    own[r["side"]][r["word"]] = _odds(model["rate"], r["side"], r["word"], r["hits"], r["total"])
+                here = {"open": ChainMap(own["open"], model["open"]), "close": ChainMap(own["close"], model["close"])} if more is not None else model
+                rows += [(d, a, b) for a, b in sentences(t, here)]
+            yield pd.DataFrame(rows, columns=[id_column, "start_pos", "end_pos"])
+
+    # a document asks for the words that were not sent, and gets their counts by a join: no word is without its own
+    keyed = cut(chosen.withColumn("k", F.monotonically_increasing_id()))
+    asked = keyed.select("k", "t").mapInPandas(unknown, "k long, side string, word string")
+    answered = asked.join(rest, ["side", "word"]).groupBy("k").agg(F.collect_list(F.struct("side", "word", "hits", "total")).alias("more"))
+    return keyed.join(answered, "k", "left").select("d", "t", "more").mapInPandas(run_with, schema)

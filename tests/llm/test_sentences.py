@@ -73,3 +73,21 @@ def test_unit_of_many_undecided_candidates_is_whole():
     from termloom.llm.sentences import _select
 
     assert _select(0, 6000, [(10 * i, 10 * i + 1, -4.0) for i in range(1, 600)]) == [(0, 6000)]
+
+
+def test_words_beyond_the_broadcast_count_alike(spark, monkeypatch):
+    """With a handful of words sent to the executors all others come by a join, and the sentences stay the same."""
+    from termloom.llm import sentences as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    whole = split_sentences(docs, "doc_id", "text").collect()
+    monkeypatch.setattr(S, "MODEL_WORDS", 50)
+    assert sorted(map(tuple, split_sentences(docs, "doc_id", "text").collect())) == sorted(map(tuple, whole))
+
+
+def test_long_words_are_told_apart():
+    from termloom.llm.sentences import _closing, _opening
+
+    a, b = "x" * 50 + "a.", "x" * 50 + "b."
+    assert _closing(a, len(a), 0) != _closing(b, len(b), 0) and _opening(a, 0) != _opening(b, 0)
+    assert _closing("so " + "y" * 30 + ".", 34, 0) == "y" * 30 + "."
