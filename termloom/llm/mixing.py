@@ -1,19 +1,22 @@
 """Mix sources to target shares of all tokens, in blocks of fixed length.
 
 The documents of each source are laid end to end and cut into blocks of ``BLOCK`` tokens. The number of blocks
-each source gives follows from the targets; each output shard draws its counts from them at random (multinomial,
-without replacement, so the shares are met exactly), slot by slot a pseudorandom permutation of the source's
+each source gives follows from the targets; each output shard draws its counts from them at random (multinomial
+counts given their sums, so the shares are met), slot by slot a pseudorandom permutation of the source's
 blocks names the block, and blocks are joined by their index. No list of blocks is ever brought to one place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.cumulative import running_total
@@ -22,6 +25,8 @@ from termloom.session import cut
 BLOCK = 128
 #: Blocks in an output shard.
 SHARD = 4096
+#: Length from which a text is encoded in stretches, which gives the same tokens.
+LONG_TEXT = 100_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split of a text into the stretches within which the vocabulary's pairs are merged; part of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,14 +48,34 @@ def _encoder(path: str):
     return held[path]
 
 
+#: Where one stretch surely ends and the next begins: a single blank between a sign that is none and a letter.
+_SURE_CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
+
+
+def stretches(text: str, size: int = LONG_TEXT) -> Iterator[str]:
+    """The text in parts of about ``size`` characters whose tokens are together those of the whole."""
+    at = 0
+    while len(text) - at > size:
+        cut_at = _SURE_CUT.search(text, at + size)
+        if cut_at is None:
+            break
+        yield text[at : cut_at.start()]
+        at = cut_at.start()
+    yield text[at:]
+
+
 def token_counts(text, path: str = VOCABULARY):
-    """Number of tokens of each text under a public vocabulary file (null for null)."""
+    """Number of tokens of each text under a public vocabulary file (null for null). The file is sent to the workers
+    with the job where a session is running, so it need only exist at the driver."""
+    session = SparkSession.getActiveSession()
+    if session is not None and os.path.exists(path) and not session.sparkContext.master.startswith("local"):
+        session.sparkContext.addFile(path)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        enc = _encoder(path)
-        # very long texts are encoded by lines, which only matters to white space at their ends
-        return s.map(lambda t: sum(len(enc.encode_ordinary(p)) for p in t.splitlines(True)) if len(t) > 100_000 else len(enc.encode_ordinary(t)), na_action="ignore").astype("Int64")
+        sent = SparkFiles.get(os.path.basename(path))
+        enc = _encoder(sent if os.path.exists(sent) else path)
+        return s.map(lambda t: sum(len(enc.encode_ordinary(p)) for p in stretches(t)), na_action="ignore").astype("Int64")
 
     return count(text)
 
@@ -75,18 +100,32 @@ def _permute(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _hypergeometric(good: int, rest: int, take: int, rng: np.random.Generator) -> int:
+    """How many good ones a uniform choice of ``take`` out of ``good + rest`` holds, exact at any size: every item is
+    chosen independently, and as many as are then too many (too few) are put back (added) uniformly, which is a
+    smaller choice of the same kind."""
+    if not good or not take:
+        return 0
+    if not rest or take == good + rest:
+        return min(good, take)
+    if take <= 8:
+        found = 0
+        for i in range(take):
+            found += int(rng.integers(good + rest - i)) < good - found
+        return found
+    p = take / (good + rest)
+    a, b = int(rng.binomial(good, p)), int(rng.binomial(rest, p))
+    if a + b > take:
+        return a - _hypergeometric(a, b, a + b - take, rng)
+    return a + _hypergeometric(good - a, rest - b, take - a - b, rng)
+
+
 def _draw(total: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``take`` draws without replacement fall to each source that has ``total`` slots left."""
     out, left, need = np.zeros(len(total), np.int64), int(total.sum()), int(take)
     for i, good in enumerate(map(int, total)):
-        rest = left - good
-        if left < 1_000_000_000:
-            x = int(rng.hypergeometric(good, rest, need)) if need and left else 0
-        else:  # beyond the generator's range: its normal limit, kept within what is possible
-            mean = need * good / left
-            sd = (mean * rest / left * (left - need) / max(left - 1, 1)) ** 0.5
-            x = min(max(round(rng.normal(mean, sd)), need - rest, 0), good, need)
-        out[i], left, need = x, rest, need - x
+        out[i] = x = _hypergeometric(good, left - good, need, rng)
+        left, need = left - good, need - x
     return out
 
 
@@ -105,7 +144,7 @@ def shard_counts(total: np.ndarray, shard: int, shards: int, size: int, seed: in
     return before, here
 
 
-def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 11, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(draws, shares).
 
     draws: ``shard``, ``slot``, ``source``, ``round``, ``block``, ``doc_id``, ``from_token``, ``to_token``: the
@@ -114,7 +153,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFra
     ``actual_share`` and ``max_repeats``. ``targets`` has source, target_share and max_repeats.
 
     The mix is as large as the scarcest source allows while all sources with documents keep their targets (scaled
-    to sum to 1 if some targets have no documents). Documents of sources without a target, without a source, or
+    to sum to 1 if some targets have no documents). With ``total_tokens`` it is that large: a source that cannot give
+    its share within its repeats falls short, and ``actual_share`` says by how much. Documents of sources without a target, without a source, or
     without tokens are not drawn. Source names are compared as written.
     """
     goal = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.toLocalIterator() if r.source is not None and r.target_share and r.max_repeats}
@@ -125,10 +165,11 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: DataFra
     blocks = np.array([-(-have[s] // block) for s in names], np.int64)
     share = np.array([goal[s][0] for s in names]) / max(sum(goal[s][0] for s in names), 1e-300)
     tokens_all = min((have[s] * goal[s][1] / w for s, w in zip(names, share, strict=True)), default=0.0)
+    tokens_all = tokens_all if total_tokens is None else float(total_tokens)
     # a source's blocks hold have/blocks tokens on average; as many as its share needs, at most its rounds allow
     take = np.array([min(int(b) * goal[s][1], round(tokens_all * w * int(b) / have[s])) for s, w, b in zip(names, share, blocks, strict=True)], np.int64)
     spark = docs.sparkSession
-    slots, shards = int(take.sum()), -(-int(take.sum()) // shard)
+    shards = -(-int(take.sum()) // shard)
 
     def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
