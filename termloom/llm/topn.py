@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 #: Rows a task holds at a time while it looks for bounds.
 CHUNK = 1 << 20
@@ -24,11 +25,19 @@ MAX_BOUNDS = 100_000
 def top_n(df: DataFrame, group: str, score: Column, ties: list[str], n: int) -> DataFrame:
     """The ``n`` rows of lowest ``score`` in each ``group``, with their place as ``top_rank`` (from 1).
 
-    Ties go to the lower values of ``ties``, in turn; null ties come first. Rows whose score is null or NaN never
+    Scores are compared in their own type. Ties go to the lower values of ``ties``, in turn; null ties come first. Rows whose score is null or NaN never
     qualify; rows without a group form no group. Repeated rows count each. Give a negated score for the highest
     first. Columns of ``df`` are kept; one named ``top_rank`` or starting with ``__`` would be replaced.
     """
-    scored = df.withColumn("__score", score.cast("double") + 0.0).where(F.col("__score").isNotNull() & ~F.isnan("__score") & F.col(f"`{group}`").isNotNull())
+    kind = df.select(score.alias("s")).schema["s"].dataType
+    real = isinstance(kind, (FloatType, DoubleType))
+    scored = df.withColumn("__score", score + F.lit(0.0).cast(kind) if real else score).where(F.col("__score").isNotNull() & F.col(f"`{group}`").isNotNull())
+    scored = scored.where(~F.isnan("__score")) if real else scored
+    place = F.row_number().over(Window.partitionBy(F.col(f"`{group}`")).orderBy("__score", *(F.col(f"`{c}`") for c in ties)))
+    if not isinstance(kind, NumericType):  # no arithmetic, no bound
+        return scored.withColumn("top_rank", place).where(F.col("top_rank") <= n).drop("__score")
+    # a double keeps the order of any number but may let two numbers fall together, so it serves as a bound only
+    rough = F.col("__score").cast("double")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -60,9 +69,8 @@ def top_n(df: DataFrame, group: str, score: Column, ties: list[str], n: int) ->
         if held and (out := flush()) is not None:
             yield out
 
-    found = scored.select(F.col(f"`{group}`").cast("string").alias("g"), F.col("__score").alias("s")).mapInArrow(local, "g string, s double, c long")
+    found = scored.select(F.col(f"`{group}`").cast("string").alias("g"), rough.alias("s")).mapInArrow(local, "g string, s double, c long")
     best = found.groupBy("g").agg(F.min("s").alias("__bound"), F.sum("c").alias("c")).orderBy(F.desc("c"), "g").limit(MAX_BOUNDS)
     bounds = best.select(F.col("g").alias("__g"), "__bound")
-    kept = scored.join(F.broadcast(bounds), F.col(f"`{group}`").cast("string") == F.col("__g"), "left").where(F.col("__bound").isNull() | (F.col("__score") <= F.col("__bound")))
-    place = F.row_number().over(Window.partitionBy(F.col(f"`{group}`")).orderBy("__score", *(F.col(f"`{c}`") for c in ties)))
+    kept = scored.join(F.broadcast(bounds), F.col(f"`{group}`").cast("string") == F.col("__g"), "left").where(F.col("__bound").isNull() | (rough <= F.col("__bound")))
     return kept.withColumn("top_rank", place).where(F.col("top_rank") <= n).drop("__score", "__g", "__bound")

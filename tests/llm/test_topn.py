@@ -24,3 +24,13 @@ def test_empty_and_few_bounds(spark, monkeypatch):
     assert T.top_n(df.limit(0), "g", F.col("s"), ["s"], 3).count() == 0
     monkeypatch.setattr(T, "MAX_BOUNDS", 1)
     assert sorted((r.g, r.s, r.top_rank) for r in T.top_n(df, "g", F.col("s"), ["s"], 2).collect()) == [("a", 0.0, 1), ("a", 1.0, 2), ("b", 0.0, 1), ("b", 1.0, 2)]
+
+
+def test_scores_in_their_own_type(spark):
+    rows = [("a", 2**53 + 1, "x"), ("a", 2**53, "y"), ("a", 2**53 + 2, "z")] + [("b", i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, s long, t string")
+    assert [r.t for r in T.top_n(df, "g", F.col("s"), ["t"], 2).where("g = 'a'").orderBy("top_rank").collect()] == ["y", "x"]
+    dated = df.withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("s").cast("int") % 40)).where("g = 'b'")
+    assert [r.s for r in T.top_n(dated, "g", F.col("d"), ["s"], 3).orderBy("top_rank").collect()] == [0, 40, 1]
+    exact = df.withColumn("m", F.col("s").cast("decimal(30,10)"))
+    assert [r.t for r in T.top_n(exact, "g", -F.col("m"), ["t"], 1).where("g = 'a'").collect()] == ["z"]
