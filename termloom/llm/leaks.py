@@ -8,6 +8,7 @@ marked first and never overlap, so reordered passages add up to the share of the
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -100,10 +101,19 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
 def _search(docs: DataFrame, doc_id: str, text: str, block: list[tuple], item_type: str, item_id: str, least: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(block)
-    state: dict = {}
+    name = f"{uuid.uuid4()}"
 
     def prepare() -> dict:
-        if not state:
+        import sys
+        import types
+
+        # one index a worker process, whatever number of tasks it runs; the last few blocks are kept
+        kept = sys.modules.setdefault("_termloom_leaks", types.ModuleType("_termloom_leaks")).__dict__.setdefault("blocks", {})
+        state = kept.get(name)
+        if state is None:
+            while len(kept) > 3:
+                kept.pop(next(iter(kept)))
+            state = kept[name] = {}
             vocab: dict[str, int] = {}
             ids, seeds, owner = [], [], []
             for n, (_, t) in enumerate(held.value):

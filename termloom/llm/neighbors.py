@@ -119,7 +119,8 @@ def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7)
     spread = placed.select("row_id", block.alias("own"), near.alias("near")).join(vectors, "row_id").select("row_id", "v", "own", F.explode("near").alias("block"))
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("row_id") if group["row_id"].duplicated().any() else group
+        if group["row_id"].duplicated().any():  # a block over the end of a curve may hold a row twice; its own place counts
+            group = group.iloc[np.argsort((group["own"] != group["block"]).to_numpy(), kind="stable")].drop_duplicates("row_id")
         core = (group["own"] == group["block"]).to_numpy()
         ids, u = group["row_id"].to_numpy(), _unit(group["v"])
         sims = u[core] @ u.T
