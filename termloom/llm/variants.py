@@ -1,10 +1,12 @@
 """Records that differ only in formatting: one row per record, with its copies.
 
-Two passes over the rows. The first puts every canonical key into Bloom filters of keys seen once and keys seen
+Two passes over the keys. The first puts every canonical key into Bloom filters of keys seen once and keys seen
 repeatedly, built per batch and merged per segment of the bit space. The second sends only rows whose key the
 "repeated" filter may hold into the exact grouping; all others are singletons and are never shuffled. A filter
 never misses a repeated key, so the result is exact whatever its size; a crowded filter only lets more rows
-through.
+through. It is not let to crowd: its bits follow the number of distinct keys, and where these need more than the
+segments that may be broadcast, the keys are taken share by share, each with a filter of its own. Only the 16-byte
+keys and ids are read once a share; the rows are not.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,7 +62,7 @@ def canonical_key(exact: list[Column], field: Column) -> Column:
 
 #: Bits of a segment; segments are merged one by one, so no task holds more than a few of them.
 SEGMENT_BITS = 1 << 20
-#: At most so many segments (64 MB of bits in all) are broadcast; see the module's head for what lies beyond.
+#: At most so many segments (64 MB of bits in all) are broadcast at a time; more keys are taken in several shares.
 MAX_SEGMENTS = 512
 BITS_PER_KEY = 12
 
@@ -80,6 +83,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"))
 
 
+def filter_shares(keys: int) -> int:
+    """How many filters of at most MAX_SEGMENTS the distinct keys need."""
+    return max(1, -(-keys * BITS_PER_KEY // (SEGMENT_BITS * MAX_SEGMENTS)))
+
+
 def repeated_filter(keys: DataFrame, column: str, rows: int) -> tuple[int, dict[int, bytes]]:
     """(number of segments, bits by segment) of a filter that holds every value of ``column`` occurring twice."""
     segments = max(1, min(MAX_SEGMENTS, -(-rows * BITS_PER_KEY // SEGMENT_BITS)))
@@ -158,9 +166,17 @@ def collapse(rows: DataFrame, id_column: str, key: Column) -> tuple[DataFrame, D
     aggregation, and rows of the largest groups meet them by broadcast, not by a shuffle to one task.
     """
     keyed = cut(rows.select(F.col(f"`{id_column}`").alias("row_id"), key.alias("k")))
-    n = keyed.count()
-    segments, bits = repeated_filter(keyed, "k", n)
-    keyed = cut(keyed.withColumn("repeats", may_repeat(keyed, "k", segments, bits)))
+    n, distinct = keyed.agg(F.count("*"), F.approx_count_distinct("k", 0.02)).first()
+    most = int(distinct * 1.05) + 1
+    shares = filter_shares(most)
+    # the digits that tell the share are none of those the filter goes by
+    share = F.pmod(F.conv(F.substring("k", 17, 8), 16, 10).cast("long"), F.lit(shares))
+    told = []
+    for i in range(shares):
+        part = keyed if shares == 1 else keyed.where(share == i)
+        told.append(part.withColumn("repeats", may_repeat(part, "k", *repeated_filter(part, "k", -(-most // shares)))))
+    told += [keyed.where("k is null").withColumn("repeats", F.lit(False))] if shares > 1 else []
+    keyed = cut(reduce(DataFrame.unionByName, told))
     maybe = keyed.where("repeats")
     groups = cut(maybe.groupBy("k").agg(F.min("row_id").alias("record"), F.count("*").alias("n_copies")).where("n_copies > 1"))
     # at most HOT groups have this many rows, so they can be broadcast

@@ -76,3 +76,20 @@ def test_positions_stay_in_one_segment():
     keys = np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64)
     a, b = V._positions(keys, 7) // np.uint64(V.SEGMENT_BITS)
     assert (a == b).all() and a.max() == 6
+
+
+def test_shares_keep_the_filter_thin(spark, monkeypatch):
+    """With room for a tenth of the keys the copies are the same, and hardly any lone row passes the filters."""
+    df = spark.range(400_000).select(F.col("id"), F.md5(F.when(F.col("id") % 20 == 0, F.col("id") % 1000).otherwise(F.col("id")).cast("string")).alias("k"))
+    df = df.withColumn("k", F.when(F.col("id") % 777 == 1, None).otherwise(F.col("k")))
+    whole = {r.row_id: r.n_copies for r in V.collapse(df, "id", F.col("k"))[0].where("n_copies > 1").collect()}
+    passed = []
+    seen = V.may_repeat
+    monkeypatch.setattr(V, "may_repeat", lambda part, c, n, bits: passed.append((part, n, bits)) or seen(part, c, n, bits))
+    monkeypatch.setattr(V, "MAX_SEGMENTS", 1)
+    monkeypatch.setattr(V, "SEGMENT_BITS", 1 << 19)
+    records, members = V.collapse(df, "id", F.col("k"))
+    assert {r.row_id: r.n_copies for r in records.where("n_copies > 1").collect()} == whole and len(passed) >= 9
+    assert records.agg(F.sum("n_copies")).first()[0] == 400_000 and members.count() == 400_000 - records.count()
+    lone = sum(part.where("id % 20 <> 0" if "id" in part.columns else "row_id % 20 <> 0").where(seen(part, "k", n, bits)).count() for part, n, bits in passed)
+    assert lone < 0.1 * 380_000
