@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.operators.hierarchy import descendants, hierarchy, parent_links
+from termloom.operators.hierarchy import descendants, hierarchy, parent_links, shortest_paths
 from termloom.operators.packed import unpack
 from termloom.session import table
 
@@ -27,11 +27,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, depth and root of each term along its first parents (p7_found has every root and its fewest links),
-    and its number of descendants over all links."""
+    """Each term with each root it leads up to: depth, path of fewest links, and the term's number of descendants, all
+    over all parents. A term without any root, which only loops lead up from, has one row without root and path."""
     h = _solved(spark, sf_dir)
     below = descendants(h).groupBy("node").agg(F.count("*").alias("n"))
-    return h.forest.join(below, "node", "left").select(F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("n_descendants"), (~F.col("is_root")).alias("in_loop"))
+    paths = h.forest.select("node").join(shortest_paths(h), "node", "left").join(below, "node", "left")
+    return paths.select(F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("n_descendants"))
 
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,11 @@ ent as (select upper(replace(regexp_extract(term_id, '^\s*([A-Za-z]+[:_][0-9]+)'
 nodes as (select distinct node from ent where node <> ''),
 links as (select distinct e.node, n.node as parent from ent e join nodes n on n.node = upper(replace(regexp_extract(e.p, '^\s*([A-Za-z]+[:_][0-9]+)', 1), '_', ':')) where e.node <> '')"""
 
+# fewest links are fewer than there are terms
+_UP = f"""with recursive {_LINKS},
+up as (select node, node as anc, 0 as depth from nodes union select u.node, l.parent, u.depth + 1 from up u join links l on l.node = u.anc where u.depth < (select count(*) from nodes)),
+reach as (select node, anc as root, min(depth) as depth from up where anc not in (select node from links) group by all)"""
+
 SQL = {
     "p4_found": "with f as ("
     + " union all ".join(_P4_FIELD.format(f=f) for f in PACKED)
@@ -59,9 +65,13 @@ parts as (select row_id, field, i, case when regexp_full_match(v, '[A-Za-z]+[:_]
 one as (select row_id, field, i, generate_subscripts(vs, 1) as j, unnest(vs) as v from parts),
 bare as (select row_id, field, i, j, case when regexp_full_match(v, '"(?:[^"]|"")*"') then trim(replace(substr(v, 2, length(v) - 2), '""', '"')) else v end as val from one)
 select row_id, field, cast(row_number() over (partition by row_id, field order by i, j) as integer) as pos, val from bare where val <> ''""",
-    "p7_found": f"""with recursive {_LINKS},
-up as (select node, node as anc, 0 as depth from nodes union select u.node, l.parent, u.depth + 1 from up u join links l on l.node = u.anc where u.depth < 200),
+    "p7_found": f"""{_UP},
 anc as (select node, parent as anc from links union select a.node, l.parent from anc a join links l on l.node = a.anc)
-select node as term_id, anc as root_id, min(depth) as depth from up where anc not in (select node from links) group by all
-union all select distinct node, 'cycle', -1 from anc where node = anc""",
+select node as term_id, root as root_id, depth from reach union all select distinct node, 'cycle', -1 from anc where node = anc""",
+    "p7_descendants": f"""{_UP} select anc as term_id, node as descendant_id, min(depth) as distance from up where anc <> node group by all""",
+    "p7_paths": f"""{_UP},
+onward as (select r.node, r.root, min(l.parent) as parent from reach r join links l on l.node = r.node join reach a on a.node = l.parent and a.root = r.root and a.depth = r.depth - 1 group by all),
+path as (select node, root, 0 as depth, node as path from reach where depth = 0 union all select o.node, o.root, p.depth + 1, p.path || '/' || o.node from path p join onward o on o.parent = p.node and o.root = p.root),
+below as (select anc as node, count(distinct node) as n from up where anc <> node group by 1)
+select n.node as term_id, p.root as root_id, p.depth, p.path, coalesce(b.n, 0) as n_descendants from nodes n left join path p on p.node = n.node left join below b on b.node = n.node""",
 }

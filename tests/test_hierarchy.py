@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators.hierarchy import descendants, hierarchy, parent_links
+from termloom.operators.hierarchy import descendants, hierarchy, parent_links, shortest_paths
 
 
 def brute(par):
@@ -51,7 +51,8 @@ def test_chain_ranges_and_paths(spark):
     h, reach, cyc = solve(spark, par)
     assert ("C:29", "C:0", 29) in reach and not cyc
     got = h.forest.where("node = 'C:29'").first()
-    assert got.path == [f"C:{i}" for i in range(30)] and got.rgt - got.lft == 1
+    way = shortest_paths(h).where("node = 'C:29'").first()
+    assert way.path == [f"C:{i}" for i in range(30)] and got.rgt - got.lft == 1
     assert descendants(h).where("node = 'C:10'").count() == 19
 
 
@@ -99,3 +100,12 @@ def test_path_rows_count_descendants_over_second_parents(spark, tmp_path):
     rows = [("D:1", []), ("D:2", ["D:1"]), ("D:3", ["D:1"]), ("D:4", ["D:2", "D:3"]), ("D:5", ["D:4"])]
     spark.createDataFrame(rows, "term_id string, parents array<string>").write.parquet(f"{tmp_path}/obo_terms.parquet")
     assert {r.term_id: r.n_descendants for r in p7_paths(spark, str(tmp_path)).collect()} == {"D:1": 4, "D:2": 2, "D:3": 2, "D:4": 1, "D:5": 0}
+
+
+def test_paths_to_every_root_and_around_loops(spark):
+    par = {"R:1": set(), "R:2": set(), "A:1": {"R:1"}, "A:2": {"R:2", "A:1"}, "L:1": {"L:2", "A:2"}, "L:2": {"L:1"}, "Z:1": {"Z:2"}, "Z:2": {"Z:1"}}
+    h, reach, cyc = solve(spark, par)
+    assert (reach, cyc) == brute(par)
+    got = {(r.node, r.root): r.path for r in shortest_paths(h).collect()}
+    assert len(got) == len(reach) and got["L:2", "R:1"] == ["R:1", "A:1", "A:2", "L:1", "L:2"] and got["L:2", "R:2"] == ["R:2", "A:2", "L:1", "L:2"]
+    assert all(b in par and a in par[b] for p in got.values() for a, b in zip(p, p[1:], strict=False))
