@@ -3,6 +3,13 @@ gzip is read as it is. Null and missing fields take the stated defaults."""
 
 from __future__ import annotations
 
+import io
+import re
+import tarfile
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +115,7 @@ def pipe_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def obo_terms(spark: SparkSession, path: str, obsolete: bool = False) -> DataFrame:
-    """(term_id, name, definition, synonyms, xrefs, parents, is_obsolete) of the [Term] stanzas of OBO text."""
+    """(term_id, name, definition, synonyms, xrefs, parents, relations, is_obsolete) of the [Term] stanzas of OBO text."""
     stanza = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").startswith("Term]") | F.col("value").startswith("[Term]"))
     body = F.concat(F.lit("\n"), F.col("value"), F.lit("\n"))
     one = lambda tag: F.nullif(F.trim(F.regexp_extract(body, rf"\n{tag}: ([^\n]*)", 1)), F.lit(""))
@@ -116,7 +123,7 @@ def obo_terms(spark: SparkSession, path: str, obsolete: bool = False) -> DataFra
     quoted = r'"((?:[^"\\\\]|\\\\.)*)"'.replace("\\\\\\\\", "\\\\")
     terms = stanza.select(
         one("id").alias("term_id"), one("name").alias("name"), F.nullif(F.regexp_extract(body, rf"\ndef: {quoted}", 1), F.lit("")).alias("definition"),
-        many("synonym", quoted).alias("synonyms"), many("xref", r"([^\s\n]+)").alias("xrefs"), many("is_a", r"([^\s\n]+)").alias("parents"),
+        many("synonym", quoted).alias("synonyms"), many("xref", r"([^\s\n]+)").alias("xrefs"), many("is_a", r"([^\s\n]+)").alias("parents"), many("relationship", r"([^\s\n]+ [^\s\n]+)").alias("relations"),
         (F.coalesce(one("is_obsolete"), F.lit("")) == "true").alias("is_obsolete"),
     )
     return terms.where("term_id is not null" + ("" if obsolete else " and not is_obsolete"))
@@ -149,16 +156,19 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     schema = "MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string>>>>>"
     a = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path).select("MedlineCitation.*")
     sections = F.transform(F.coalesce("Article.Abstract.AbstractText", F.array()), lambda s: F.concat_ws(": ", s["_Label"], s["_VALUE"]))
-    return a.select(F.col("PMID._VALUE").alias("pmid"), T.clean_text(F.col("Article.ArticleTitle")).alias("title"), T.clean_text(F.array_join(sections, " ")).alias("abstract"), F.col("Article.Journal.Title").alias("journal"), F.col("Article.Journal.JournalIssue.PubDate.Year").cast("int").alias("year"))
+    return a.select(F.col("PMID._VALUE").alias("pmid"), T.clean_text(F.col("Article.ArticleTitle")).alias("title"), T.clean_text(F.array_join(sections, " ")).alias("abstract"), F.col("Article.Journal.Title").alias("journal"), F.col("Article.Journal.JournalIssue.PubDate.Year").try_cast("int").alias("year"))
 
 
-def trials(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, title, text) of registered studies as nested JSON: summary, conditions and outcomes."""
+def trials(spark: SparkSession, path: str, outcomes_only: bool = False, require_results: bool = False) -> DataFrame:
+    """(doc_id, title, text) of registered studies as nested JSON: summary, conditions and outcomes; ``outcomes_only``
+    leaves the outcomes alone, ``require_results`` the studies that have results."""
     schema = """protocolSection struct<identificationModule: struct<nctId: string, briefTitle: string>, descriptionModule: struct<briefSummary: string>,
-    conditionsModule: struct<conditions: array<string>>, outcomesModule: struct<primaryOutcomes: array<struct<measure: string, description: string>>>>"""
-    p = spark.read.schema(schema).option("multiLine", True).json(path).select("protocolSection.*")
+    conditionsModule: struct<conditions: array<string>>, outcomesModule: struct<primaryOutcomes: array<struct<measure: string, description: string>>>>, hasResults boolean"""
+    studies = spark.read.schema(schema).option("multiLine", True).json(path)
+    p = (studies.where("hasResults") if require_results else studies).select("protocolSection.*")
     outcomes = F.transform(F.coalesce("outcomesModule.primaryOutcomes", F.array()), lambda o: F.concat_ws(". ", o["measure"], o["description"]))
     text = F.concat_ws(" ", "descriptionModule.briefSummary", F.array_join(F.coalesce("conditionsModule.conditions", F.array()), "; "), F.array_join(outcomes, " "))
+    text = F.array_join(outcomes, " ") if outcomes_only else text
     return p.select(F.col("identificationModule.nctId").alias("doc_id"), F.col("identificationModule.briefTitle").alias("title"), T.clean_text(text).alias("text"))
 
 
@@ -171,10 +181,155 @@ def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(cui, vector) of lines with a name and numbers, separated by blanks, tabs or commas; a header line of two numbers
     is skipped."""
     f = F.split(F.trim("value"), r"[\s,]+")
-    return spark.read.text(path).where(F.size(f) > 2).select(f[0].alias("cui"), F.transform(F.slice(f, 2, 100_000), lambda x: x.cast("double")).alias("vector"))
+    return spark.read.text(path).where(F.size(f) > 2).select(f[0].alias("cui"), F.transform(F.slice(f, F.lit(2), F.size(f) - 1), lambda x: x.cast("double")).alias("vector"))
 
 
 def object_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(cui, vector) of one JSON object of names and number lists a file."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<double>>").alias("m"))
-    return whole.select(F.explode("m").alias("cui", "vector"))
+    """(cui, vector) of JSON objects of names and number lists. A file is read from bracket to bracket, not as a whole,
+    so it may be of any size and is shared out among tasks."""
+    part = spark.read.option("lineSep", "]").text(path)
+    name = r'"((?:[^"\\\\]|\\\\.)*)"\s*:\s*\['.replace("\\\\", "\\")
+    found = part.select(F.regexp_extract("value", name, 1).alias("cui"), F.regexp_replace("value", r"^[\s\S]*\[", "").alias("v")).where("cui <> ''")
+    return found.select("cui", F.transform(F.split(F.trim("v"), r"\s*,\s*"), lambda x: x.cast("double")).alias("vector"))
+
+
+def compact_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(metadata columns, vector) of vectors that ``sinks.compact_vectors`` wrote; a matrix that does not hold the rows
+    and numbers its manifest names ends the job."""
+    told = spark.read.json(f"{path}/manifest").first()
+    block, dims = told.block, told.dims
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, data in zip(b["block"], b["matrix"], strict=True):
+                if len(data) % (4 * dims):
+                    raise ValueError(f"block {at} does not hold vectors of {dims} numbers")
+                m = np.frombuffer(data, "<f4").reshape(-1, dims)
+                yield pd.DataFrame({"pos": np.arange(len(m)) + at * block, "vector": list(m)})
+
+    vectors = spark.read.parquet(f"{path}/matrix").mapInPandas(unpack, "pos long, vector array<float>")
+    return spark.read.json(f"{path}/metadata").join(vectors, "pos").drop("pos")
+
+
+def semantic_types(spark: SparkSession, path: str) -> DataFrame:
+    """(cui, tui, stn, sty, atui), each concept's types once."""
+    t = pipe_file(spark, path, "types").where("cui <> '' and tui <> ''")
+    return t.groupBy("cui", "tui").agg(F.min("stn").alias("stn"), F.min("sty").alias("sty"), F.min("atui").alias("atui"))
+
+
+def concepts_of_types(types: DataFrame, wanted: list[str]) -> DataFrame:
+    """(cui) of the concepts one of whose types is wanted by its number or, case aside, its name."""
+    low = [w.lower() for w in wanted]
+    return types.where(F.lower("tui").isin(low) | F.lower("sty").isin(low)).select("cui").distinct()
+
+
+def _plain(xml: Column) -> Column:
+    """Text of a piece of XML: tags off, entities resolved, white space collapsed."""
+    s = F.regexp_replace(xml, r"<[^>]+>", " ")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(entity), F.lit(sign))
+    return T.clean_text(s)
+
+
+def _elements(xml: Column, tag: str) -> Column:
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1)
+
+
+def _xml_rows(spark: SparkSession, path: str, row: str, fields: list[str]) -> DataFrame:
+    """Elements ``row`` with their attributes and children as they are written."""
+    return spark.read.format("xml").option("rowTag", row).schema(", ".join(f"`{f}` string" for f in fields)).load(path)
+
+
+def _cut_back(text: Column, most: int) -> Column:
+    """The text up to ``most`` signs, cut back to the last blank."""
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""))
+
+
+def full_texts(spark: SparkSession, path: str, most: int = 200_000) -> DataFrame:
+    """(doc_id, title, text, license) of full-text articles: abstract, then titles and paragraphs of the body."""
+    a = _xml_rows(spark, path, "article", ["front", "body"])
+    body = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<(?:title|p)(?:\s[^>]*)?>(.*?)</(?:title|p)>"), 1), _plain)
+    text = F.trim(F.array_join(F.concat(F.transform(_elements(F.col("front"), "abstract"), _plain), F.coalesce(body, F.array())), " "))
+    first = lambda tag: _plain(F.get(_elements(F.col("front"), tag), F.lit(0)))
+    return a.select(first("article-id").alias("doc_id"), first("article-title").alias("title"), _cut_back(text, most).alias("text"), first("license").alias("license"))
+
+
+def health_topics(spark: SparkSession, path: str, spanish: bool = False) -> DataFrame:
+    """(doc_id, title, text, synonyms, groups) of topic pages; Spanish ones are skipped unless wanted."""
+    t = spark.read.format("xml").option("rowTag", "health-topic").schema("_id string, _title string, _language string, `full-summary` string, `also-called` array<string>, `group` array<string>").load(path)
+    t = t if spanish else t.where(F.coalesce(F.lower("_language"), F.lit("english")) != "spanish")
+    names = lambda c: F.transform(F.coalesce(F.col(f"`{c}`"), F.array()), T.clean_text)
+    return t.select(F.col("_id").alias("doc_id"), F.col("_title").alias("title"), _plain(F.col("`full-summary`")).alias("text"), names("also-called").alias("synonyms"), names("group").alias("groups"))
+
+
+def genetics_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, title, text, related) of genetics summaries with their related conditions."""
+    g = _xml_rows(spark, path, "summary", ["name", "key", "text-list", "related-list"])
+    related = F.transform(_elements(F.col("`related-list`"), "name"), _plain)
+    return g.select(F.trim("key").alias("doc_id"), F.trim("name").alias("title"), _plain(F.col("`text-list`")).alias("text"), F.coalesce(related, F.array()).alias("related"))
+
+
+# Sections of a drug label that say what it is for and what it does.
+LABEL_SECTIONS = ["indications", "contraindications", "warnings", "adverse reactions", "dosage"]
+
+
+def drug_labels(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
+    """(doc_id, title, text) of drug labels, relevant sections only, one document a set."""
+    d = _xml_rows(spark, path, "document", ["setId", "title", "component"])
+    section = F.regexp_extract_all("component", F.lit(r"(?s)<section(?:\s[^>]*)?>(.*?)</section>"), 1)
+    head = lambda x: F.lower(_plain(F.get(_elements(x, "title"), F.lit(0))))
+    wanted = F.filter(section, lambda x: F.exists(F.array(*map(F.lit, LABEL_SECTIONS)), lambda n: head(x).contains(n)))
+    text = _cut_back(F.array_join(F.transform(wanted, _plain), " "), most)
+    one = d.select(F.trim("setId").alias("doc_id"), _plain(F.col("title")).alias("title"), text.alias("text")).where("text <> ''")
+    return one.groupBy("doc_id").agg(F.min(F.struct("title", "text")).alias("x")).select("doc_id", "x.title", "x.text")
+
+
+def book_archives(spark: SparkSession, path: str, least: int = 1, most: int = 200_000) -> DataFrame:
+    """(doc_id, title, text, license) of the chapters in tar archives of book XML; tables of contents are skipped. An
+    archive is opened by one task, its chapters one by one."""
+
+    def chapters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for member in archive:
+                        if member.isfile() and member.name.lower().endswith((".nxml", ".xml")) and "toc" not in member.name.lower().rsplit("/", 1)[-1]:
+                            yield pd.DataFrame({"name": [member.name], "xml": [archive.extractfile(member).read().decode("utf-8", "replace")]})
+
+    x = spark.read.format("binaryFile").load(path).select("content").mapInPandas(chapters, "name string, xml string")
+    first = lambda tag: _plain(F.coalesce(F.get(_elements(F.col("xml"), tag), F.lit(0)), F.lit("")))
+    body = F.array_join(F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), 1), _plain), " ")
+    d = x.select(F.regexp_replace("name", r"^.*/|\.n?xml$", "").alias("doc_id"), first("title").alias("title"), _cut_back(body, most).alias("text"), first("license").alias("license"))
+    return d.where(F.length("text") >= least)
+
+
+def page_specs(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, cui, text, relations) of specifications of pages: title, extract and named relations to other concepts."""
+    schema = "cui string, title string, extract string, relations array<struct<name: string, target: string>>"
+    d = jsonl(spark, path, schema).where("cui is not null and coalesce(trim(extract), '') <> ''")
+    lines = F.transform(F.coalesce("relations", F.array()), lambda r: F.concat_ws(" ", r["name"], r["target"]))
+    return d.select(F.concat(F.col("cui"), F.lit(":page")).alias("doc_id"), "cui", T.clean_text(F.concat_ws(". ", "title", "extract")).alias("text"), lines.alias("relations"))
+
+
+def relation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, kind, subject_type, subject, object_type, object) of tab-separated relations between ``type|id`` pairs; a
+    line of another form ends the job."""
+    f = F.split("value", "\t")
+    pair = r"^([A-Za-z]+)\|(.+)$"
+    good = (F.size(f) >= 4) & F.get(f, F.lit(2)).rlike(pair) & F.get(f, F.lit(3)).rlike(pair)
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.when(F.coalesce(good, F.lit(False)), f).otherwise(F.raise_error(F.concat(F.lit("no relation: "), "value"))).alias("f"))
+    side = lambda i, g: F.regexp_extract(F.col("f")[i], pair, g)
+    return lines.select(F.col("f")[0].alias("pmid"), F.lower(F.col("f")[1]).alias("kind"), F.lower(side(2, 1)).alias("subject_type"), side(2, 2).alias("subject"), F.lower(side(3, 1)).alias("object_type"), side(3, 2).alias("object"))
+
+
+def delimited_topics(spark: SparkSession, path: str, sep: str = ":") -> DataFrame:
+    """(topic, text) of lines with a number, a separator and the text."""
+    at = rf"^\s*(\w+)\s*{re.escape(sep)}\s*(\S.*)$"
+    return spark.read.text(path).where(F.col("value").rlike(at)).select(F.regexp_extract("value", at, 1).alias("topic"), T.clean_text(F.regexp_extract("value", at, 2)).alias("text"))
+
+
+def tagged_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, text) of <top> blocks whose fields open with a tag and need not close it: number, title, description."""
+    block = spark.read.option("lineSep", "<top>").text(path).where(F.col("value").contains("<num>"))
+    field = lambda tag: F.regexp_replace(F.regexp_extract("value", rf"(?s)<{tag}>\s*(?:\w+:)?\s*(.*?)\s*(?=<|$)", 1), r"\s+", " ")
+    return block.select(field("num").alias("topic"), T.clean_text(F.concat_ws(" ", F.nullif(field("title"), F.lit("")), F.nullif(field("desc"), F.lit("")))).alias("text"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import Observation
+
+from termloom.operators.cumulative import running_total
 
 
 def jsonl(df: DataFrame, path: str) -> int:
@@ -28,3 +31,19 @@ def bulk_lines(df: DataFrame, path: str, index: str, id_column: str, per_file: i
     lines = df.select(F.concat(action, F.lit("\n"), F.to_json(F.struct(*df.columns))).alias("value"))
     lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
     return seen.get["n"]
+
+
+def compact_vectors(df: DataFrame, path: str, dims: int, block: int = 4096) -> int:
+    """Vectors (vector and any other columns) as blocks of a little-endian float32 matrix, their metadata as JSON lines
+    with the place in it (pos), and a manifest of rows, dims and block. A vector of another length ends the job."""
+    placed = running_total(df.withColumn("__h", F.xxhash64(*df.columns)).withColumn("__m", F.monotonically_increasing_id()), ["__h", "__m"], F.lit(1), "pos").drop("__h", "__m")
+    placed = placed.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has not {dims} numbers"))))
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(g.sort_values("pos")["vector"].to_numpy()).astype("<f4")
+        return pd.DataFrame({"block": [int(g["pos"].iloc[0]) // block], "matrix": [m.tobytes()]})
+
+    placed.select("pos", "vector", F.floor(F.col("pos") / block).alias("b")).groupBy("b").applyInPandas(pack, "block long, matrix binary").write.mode("overwrite").parquet(f"{path}/matrix")
+    n = jsonl(placed.drop("vector"), f"{path}/metadata")
+    df.sparkSession.createDataFrame([(n, dims, block)], "rows long, dims int, block int").write.mode("overwrite").json(f"{path}/manifest")
+    return n
