@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 
 
+# Words that name no concept when they stand alone.
+GENERIC = ["case", "cases", "disease", "finding", "normal", "other", "patient", "patients", "problem", "report", "result", "results", "symptoms", "test", "therapy", "treatment", "unspecified"]
+
+
 def dictionary(labels: DataFrame, most_tokens: int, ambiguity: int) -> DataFrame:
-    """(key, cui, n_tokens) of the labels (label, cui) fit for linking: two tokens or one of at least four letters, at
-    most ``most_tokens``, with a letter, naming at most ``ambiguity`` concepts, of which the lowest is taken."""
+    """(key, cui, n_tokens) of the labels (label, cui) fit for linking: two tokens or one of at least four letters that
+    is no generic word, at most ``most_tokens``, with a letter, no stop word at either edge, naming at most
+    ``ambiguity`` concepts, of which the lowest is taken."""
     keyed = labels.select(T.normalized_key(F.col("label")).alias("key"), "cui").where(F.col("key").rlike("[a-z]"))
     one = keyed.groupBy("key").agg(F.countDistinct("cui").alias("n"), F.min("cui").alias("cui")).where(F.col("n") <= ambiguity)
     size = F.size(F.split("key", " "))
-    return one.where((size <= most_tokens) & ((size > 1) | (F.length("key") >= 4))).select("key", "cui", size.alias("n_tokens"))
+    words = F.split("key", " ")
+    edges = ~F.element_at(words, 1).isin(T.STOPWORDS) & ~F.element_at(words, -1).isin(T.STOPWORDS)
+    return one.where((size <= most_tokens) & edges & ((size > 1) | (F.length("key") >= 4) & ~F.col("key").isin(GENERIC))).select("key", "cui", size.alias("n_tokens"))
 
 
 def candidates(docs: DataFrame, names: DataFrame, most_tokens: int) -> DataFrame:
     """(doc, start, n_tokens, key, cui) of every run of tokens in docs (doc, text) that is a name."""
-    grams = docs.select("doc", F.explode(T.ngrams(T.tokens(F.col("text")), most_tokens)).alias("g"))
+    edge = lambda g, at: F.element_at(F.split(g["text"], " "), at).isin(T.STOPWORDS)
+    fit = F.filter(T.ngrams(T.tokens(F.col("text")), most_tokens), lambda g: ~edge(g, 1) & ~edge(g, -1))  # no name has a stop word at its edge
+    grams = docs.select("doc", F.explode(fit).alias("g"))
     return grams.select("doc", F.col("g.start").alias("start"), F.col("g.text").alias("key")).join(names, "key").select("doc", "start", "n_tokens", "key", "cui")
 
 

@@ -71,7 +71,7 @@ def diverse(hits: DataFrame, most: int) -> DataFrame:
         chosen = (first + rest)[:most]
         return pd.DataFrame([(r.query, r.cui, i) for i, r in enumerate(chosen, 1)], columns=["query", "cui", "place"])
 
-    return hits.select("query", "cui", "covered", "rank_score").groupBy("query").applyInPandas(pick, "query long, cui string, place int")
+    return hits.select("query", "cui", "covered", "rank_score").groupBy("query").applyInPandas(pick, f"query {hits.schema['query'].dataType.simpleString()}, cui string, place int")
 
 
 def pairwise_weights(rows: DataFrame, features: list[str], bound: int = 200_000, epochs: int = 8, rate: float = 0.05, decay: float = 1e-4) -> dict[str, float]:

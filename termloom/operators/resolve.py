@@ -10,17 +10,29 @@ from termloom.operators.link import candidates
 
 IDENTIFIER = r"\b([Cc]\d{7})\b"
 SYSTEM_CODE = r"\b([A-Z]{2,8}:[0-9]{2,12})\b"
-
-
-def resolve_text(docs: DataFrame, names: DataFrame, most_tokens: int) -> DataFrame:
-    """(doc, target, score): identifiers in the text score 100, codes of a named system 96, names 70 and 3 for each
-    token, 15 more if the name is the whole text; the best score of each target counts. docs (doc, text), names
-    (key, cui, n_tokens)."""
-    each = lambda pattern, score: docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 1))).alias("target")).select("doc", F.upper("target").alias("target"), F.lit(score).alias("score"))
+#: A code without its system: digits that no letter, colon or further digit adjoins.
+BARE_CODE = r"(?<![\w:.-])([0-9]{4,12})(?![\w:.-])"
+
+
+def resolve_text(docs: DataFrame, names: DataFrame, concepts: DataFrame, codes: DataFrame, most_tokens: int) -> DataFrame:
+    """(doc, target, score, how): what the texts of docs (doc, text) refer to, the best score of each target.
+
+    Identifiers that are among ``concepts`` (cui) score 100; codes of a named system among ``codes`` (system, code, cui)
+    96, their bare codes, if only one concept has them, 88; names (key, cui, n_tokens) 70 and 3 for each token, 15 more
+    if the name is the whole text. Identifiers and codes that nothing knows come out as such with score 0.
+    """
+    each = lambda pattern: docs.select("doc", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), F.upper))).alias("target"))
+    known = concepts.select(F.upper("cui").alias("target")).distinct().withColumn("there", F.lit(True))
+    direct = each(IDENTIFIER).join(known, "target", "left").select("doc", "target", F.when(F.col("there"), 100).otherwise(0).alias("score"), F.when(F.col("there"), "identifier").otherwise("unknown").alias("how"))
+    full = codes.select(F.concat_ws(":", "system", "code").alias("target"), F.col("cui").alias("resolved")).distinct()
+    coded = each(SYSTEM_CODE).join(full, "target", "left").select("doc", F.coalesce("resolved", "target").alias("target"), F.when(F.col("resolved").isNull(), 0).otherwise(96).alias("score"), F.when(F.col("resolved").isNull(), "unknown").otherwise("code").alias("how"))
+    alone = codes.groupBy("code").agg(F.min("cui").alias("cui"), F.countDistinct("cui").alias("n")).where("n = 1")
+    bare = each(BARE_CODE).join(alone, F.col("target") == F.col("code")).select("doc", F.col("cui").alias("target"), F.lit(88).alias("score"), F.lit("bare code").alias("how"))
     whole = docs.select("doc", T.normalized_key(F.col("text")).alias("whole"))
     spans = candidates(docs, names, most_tokens).join(whole, "doc")
-    named = spans.select("doc", F.col("cui").alias("target"), (70 + 3 * F.col("n_tokens") + F.when(F.col("key") == F.col("whole"), 15).otherwise(0)).alias("score"))
-    return each(IDENTIFIER, 100).unionByName(each(SYSTEM_CODE, 96)).unionByName(named).groupBy("doc", "target").agg(F.max("score").alias("score"))
+    named = spans.select("doc", F.col("cui").alias("target"), (70 + 3 * F.col("n_tokens") + F.when(F.col("key") == F.col("whole"), 15).otherwise(0)).alias("score"), F.lit("name").alias("how"))
+    found = direct.unionByName(coded).unionByName(bare).unionByName(named).groupBy("doc", "target").agg(F.max(F.struct("score", "how")).alias("x"))
+    return found.select("doc", "target", "x.score", "x.how")
 
 
 def maximal(spans: DataFrame) -> DataFrame:

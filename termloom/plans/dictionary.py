@@ -68,18 +68,25 @@ def label_of_target(spark: SparkSession, sf: str) -> DataFrame:
     return rel.join(best, "target_cui", "left").select("row_id", F.coalesce("preferred", "label", "target_cui").alias("display"))
 
 
+def term_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """(system, code, cui) of the codes that the hierarchy's terms are known by."""
+    o = table(spark, sf, "obo_terms", "term_id", "xrefs").select(F.upper(F.regexp_extract("term_id", r"^\s*([A-Za-z]+)[:_]", 1)).alias("system"), F.regexp_extract("term_id", r"[:_]([0-9]+)", 1).alias("code"), F.explode("xrefs").alias("x"))
+    return o.select("system", "code", F.upper(F.regexp_extract("x", r"\b([Cc][0-9]{7})\b", 1)).alias("cui")).where("system <> '' and code <> '' and cui <> ''").distinct()
+
+
 def resolve_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Packed portal values to concepts: an identifier scores 100, a code of a named system 96, a label 88; the best
-    per row, field and concept."""
+    """Packed portal values to concepts: an identifier of the dictionary scores 100, a code of a named system that a term
+    is known by 96, a label 88; the best per row, field and target. A code that no term has stays as it is, with score 0."""
     v = unpack(table(spark, sf, "search_quality_patient_portal_queries", "row_id", *PACKED), "row_id", PACKED)
     known = table(spark, sf, "labels", "cui").distinct()
     head = F.upper(F.regexp_extract("val", r"^([A-Za-z]\d{7})", 1))
-    by_id = v.withColumn("cui", head).join(known, "cui").select("row_id", "field", "cui", F.lit(100).alias("score"))
+    by_id = v.withColumn("target", head).join(known.withColumnRenamed("cui", "target"), "target").select("row_id", "field", "target", F.lit(100).alias("score"))
     code = ids.system_code(F.col("val"))
-    by_code = v.withColumn("c", code).where("c is not null").select("row_id", "field", F.concat_ws(":", "c.system", "c.code").alias("cui"), F.lit(96).alias("score"))
+    coded = v.withColumn("c", code).where("c is not null").select("row_id", "field", F.concat_ws(":", "c.system", "c.code").alias("written"))
+    by_code = coded.join(term_codes(spark, sf).select(F.concat_ws(":", "system", "code").alias("written"), "cui"), "written", "left").select("row_id", "field", F.coalesce("cui", "written").alias("target"), F.when(F.col("cui").isNull(), 0).otherwise(96).alias("score"))
     names = table(spark, sf, "labels", "label", "cui").select(T.normalized_key(F.col("label")).alias("key"), "cui").where("key <> ''").distinct()
-    by_name = v.withColumn("key", T.normalized_key(F.element_at(F.split("val", "="), -1))).where(F.col("val").contains("=")).join(names, "key").select("row_id", "field", "cui", F.lit(88).alias("score"))
-    return by_id.unionByName(by_code).unionByName(by_name).groupBy("row_id", "field", "cui").agg(F.max("score").alias("score"))
+    by_name = v.withColumn("key", T.normalized_key(F.element_at(F.split("val", "="), -1))).where(F.col("val").contains("=")).join(names, "key").select("row_id", "field", F.col("cui").alias("target"), F.lit(88).alias("score"))
+    return by_id.unionByName(by_code).unionByName(by_name).groupBy("row_id", "field", "target").agg(F.max("score").alias("score"))
 
 
 def evidence_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +167,8 @@ def _has(c: str, words: list[str], any_of: bool = False) -> str:
     return (" or " if any_of else " and ").join(f"list_contains({c}, '{w}')" for w in words)
 
 
+_CODES = r"""co as (select distinct * from (select upper(regexp_extract(term_id, '^\s*([A-Za-z]+)[:_]', 1)) as system, regexp_extract(term_id, '[:_]([0-9]+)', 1) as code, upper(regexp_extract(unnest(xrefs), '\b([Cc][0-9]{7})\b', 1)) as cui from obo_terms) where system <> '' and code <> '' and cui <> '')"""
+
 SQL = {
     "label_exact": _ROW + "lower(trim(label, ' ')) = 'chronic rectum infarction'",
     "label_words": _ROW + _has(toks_sql("label"), ["infarction", "rectum"]),
@@ -177,11 +186,11 @@ select cui, row_number() over (partition by cui order by {_ORDER}) as place, lab
     "label_retired": """with h as (select max(row_id) as m from labels) select distinct cui, sab from labels a, h where row_id * 2 < m and not exists (select 1 from labels b, h where b.row_id * 2 >= h.m and a.cui = b.cui and a.sab = b.sab)""",
     "label_of_target": f"""with p as (select cui, label from labels where label is not null qualify row_number() over (partition by cui order by {_ORDER}) = 1)
 select r.row_id, coalesce(p.label, r.label, r.target_cui) as display from related_concepts r left join p on p.cui = r.target_cui""",
-    "resolve_values": f"""with v as ({_values_sql()}), k as (select distinct cui from labels), n as (select distinct {key_sql('label')} as key, cui from labels),
-u as (select row_id, field, upper(regexp_extract(val, '^([A-Za-z][0-9]{{7}})', 1)) as cui, 100 as score from v where upper(regexp_extract(val, '^([A-Za-z][0-9]{{7}})', 1)) in (select cui from k)
-union all select row_id, field, case when regexp_matches(upper(val), '^SNO:') then 'SNOMEDCT_US' else upper(split_part(val, ':', 1)) end || ':' || trim(regexp_extract(val, '{ids.SYSTEM_CODE}', 2)), 96 from v where regexp_matches(val, '{ids.SYSTEM_CODE}')
+    "resolve_values": f"""with {_CODES}, v as ({_values_sql()}), k as (select distinct cui from labels), n as (select distinct {key_sql('label')} as key, cui from labels),
+u as (select row_id, field, upper(regexp_extract(val, '^([A-Za-z][0-9]{{7}})', 1)) as target, 100 as score from v where upper(regexp_extract(val, '^([A-Za-z][0-9]{{7}})', 1)) in (select cui from k)
+union all select row_id, field, coalesce(co.cui, w.written), case when co.cui is null then 0 else 96 end from (select row_id, field, case when regexp_matches(upper(val), '^SNO:') then 'SNOMEDCT_US' else upper(split_part(val, ':', 1)) end || ':' || trim(regexp_extract(val, '{ids.SYSTEM_CODE}', 2)) as written from v where regexp_matches(val, '{ids.SYSTEM_CODE}')) w left join co on co.system || ':' || co.code = w.written
 union all select v.row_id, v.field, n.cui, 88 from v join n on n.key = {key_sql("string_split(val, '=')[-1]")} where contains(val, '=') and n.key <> '')
-select row_id, field, cui, max(score) as score from u group by all""",
+select row_id, field, target, max(score) as score from u group by all""",
     "evidence_filter": "select row_id from evidence where source in ('pubmed', 'query_log') and (evidence_type is null or evidence_type <> 'definition')",
     "evidence_views": "select case when evidence_type = 'query_log' then 'query_language' when evidence_type = 'snippet' then 'prose_evidence' when coalesce(evidence_type, '') = '' then 'evidence' else lower(evidence_type) end as view, count(*) as n from evidence group by 1",
     "query_log_ingest": f"select {key_sql('search_term')} as term, cast(sum(coalesce(unique_users, 1)) as bigint) as weight, count(*) as rows from query_rows where trim(search_term) <> '' group by 1 having term <> ''",

@@ -10,7 +10,7 @@ from termloom.operators import link as L
 from termloom.operators import resolve as RS
 from termloom.operators import service as SV
 from termloom.operators.packed import unpack
-from termloom.plans.dictionary import _ORDER
+from termloom.plans.dictionary import _CODES, _ORDER, term_codes
 from termloom.plans.search import _EXT, _NAMES, _named, neighbors_external
 from termloom.plans.text import PACKED, _values_sql, key_sql, toks_sql
 from termloom.session import as_integer, table
@@ -19,12 +19,12 @@ from termloom.session import as_integer, table
 def resolve_text(spark: SparkSession, sf: str) -> DataFrame:
     docs, names = _named(spark, sf)
     why = table(spark, sf, "search_quality_patient_portal_queries", "row_id", "expected_cuis").where("expected_cuis is not null").select((-1 - F.col("row_id")).alias("doc"), F.col("expected_cuis").alias("text"))
-    return RS.resolve_text(docs.unionByName(why), names, 6)
+    return RS.resolve_text(docs.unionByName(why), names, table(spark, sf, "labels", "cui").where("cui is not null"), term_codes(spark, sf), 8)
 
 
 def mentions_maximal(spark: SparkSession, sf: str) -> DataFrame:
     docs, names = _named(spark, sf)
-    return RS.maximal(L.candidates(docs, names, 6))
+    return RS.maximal(L.candidates(docs, names, 8))
 
 
 def mentions_scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def mentions_scored(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "labels", "label", "cui", "ispref").select(T.normalized_key(F.col("label")).alias("key"), "cui", "ispref").where("key <> ''").groupBy("key").agg(F.countDistinct("cui").alias("cuis"), F.max((F.col("ispref") == "Y").cast("int")).alias("pref"))
     content = lambda c: F.size(F.filter(c, lambda t: ~t.isin(T.STOPWORDS)))
     q = docs.select("doc", content(T.tokens(F.col("text"))).alias("q"))
-    spans = L.candidates(docs, names, 6).join(n, "key").join(q, "doc")
+    spans = L.candidates(docs, names, 8).join(n, "key").join(q, "doc")
     score = RS.span_score(F.col("n_tokens"), content(F.split("key", " ")), F.col("q"), F.col("cuis"), F.col("pref") == 1)
     return spans.groupBy("doc", "cui").agg(F.round(F.max(score), 6).alias("score"))
 
@@ -149,7 +149,7 @@ def label_fit(spark: SparkSession, sf: str) -> DataFrame:
     """How many labels are fit for linking, and why not."""
     key = T.normalized_key(F.col("label"))
     n = F.size(F.split(key, " "))
-    why = F.when(F.coalesce(key, F.lit("")) == "", "empty").when(~key.rlike("[a-z]"), "no_letter").when((n == 1) & (F.length(key) < 4), "short").when(n > 6, "long").otherwise("fit")
+    why = F.when(F.coalesce(key, F.lit("")) == "", "empty").when(~key.rlike("[a-z]"), "no_letter").when((n == 1) & (F.length(key) < 4), "short").when(n > 8, "long").otherwise("fit")
     return table(spark, sf, "labels", "label").groupBy(why.alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -169,7 +169,7 @@ QUERIES = {
 }
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_KEYS = f"keys as (select row_id as doc, {toks_sql('text')} as t, {key_sql('text')} as whole from evidence where text is not null), g as (select doc, t, whole, unnest(range(1, len(t) + 1)) as i from keys), h as (select doc, t, whole, i, unnest(range(1, 7)) as n from g), sp as (select doc, whole, i, n_tokens, key, cui from (select *, array_to_string(t[i:i + n - 1], ' ') as k from h where i + n - 1 <= len(t)) x join names on names.key = x.k)"
+_KEYS = f"keys as (select row_id as doc, {toks_sql('text')} as t, {key_sql('text')} as whole from evidence where text is not null), g as (select doc, t, whole, unnest(range(1, len(t) + 1)) as i from keys), h as (select doc, t, whole, i, unnest(range(1, 9)) as n from g), sp as (select doc, whole, i, n_tokens, key, cui from (select *, array_to_string(t[i:i + n - 1], ' ') as k from h where i + n - 1 <= len(t)) x join names on names.key = x.k)"
 _V = f"v as (select row_id, field, upper(regexp_extract(val, '^([A-Za-z]+[:0-9]+)', 1)) as cui, val from ({_values_sql()}))"
 
 
@@ -181,11 +181,16 @@ when {x} like '%ed' and length({x}) > 5 then {und(f'left({x}, length({x}) - 2)')
 
 SQL = {
     "resolve_text": f"""with {_NAMES}, {_KEYS}, d as (select row_id as doc, text from evidence where text is not null union all select -1 - row_id, expected_cuis from search_quality_patient_portal_queries where expected_cuis is not null),
-k2 as (select doc, {toks_sql('text')} as t, {key_sql('text')} as whole from d where doc < 0), g2 as (select doc, t, whole, unnest(range(1, len(t) + 1)) as i from k2), h2 as (select doc, t, whole, i, unnest(range(1, 7)) as n from g2),
+k2 as (select doc, {toks_sql('text')} as t, {key_sql('text')} as whole from d where doc < 0), g2 as (select doc, t, whole, unnest(range(1, len(t) + 1)) as i from k2), h2 as (select doc, t, whole, i, unnest(range(1, 9)) as n from g2),
 sp2 as (select doc, whole, n_tokens, key, cui from (select *, array_to_string(t[i:i + n - 1], ' ') as k from h2 where i + n - 1 <= len(t)) x join names on names.key = x.k),
-u as (select doc, upper(unnest(regexp_extract_all(text, '\\b([Cc][0-9]{{7}})\\b', 1))) as target, 100 as score from d union all select doc, unnest(regexp_extract_all(text, '\\b([A-Z]{{2,8}}:[0-9]{{2,12}})\\b', 1)), 96 from d
-union all select doc, cui, 70 + 3 * n_tokens + case when key = whole then 15 else 0 end from (select doc, whole, n_tokens, key, cui from sp union all select * from sp2))
-select doc, target, max(score) as score from u group by all""",
+{_CODES},
+i as (select distinct doc, upper(unnest(regexp_extract_all(text, '\\b([Cc][0-9]{{7}})\\b', 1))) as target from d), sc as (select distinct doc, unnest(regexp_extract_all(text, '\\b([A-Z]{{2,8}}:[0-9]{{2,12}})\\b', 1)) as target from d),
+bc as (select distinct doc, trim(unnest(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_:.-])', ' \\1 ', 'g'), '(?:^| )([0-9]{{4,12}})(?: |$)', 1))) as target from d), al as (select code, min(cui) as cui from co group by code having count(distinct cui) = 1),
+u as (select doc, target, case when target in (select upper(cui) from labels where cui is not null) then 100 else 0 end as score, case when target in (select upper(cui) from labels where cui is not null) then 'identifier' else 'unknown' end as how from i
+union all select doc, coalesce(cui, target), case when cui is null then 0 else 96 end, case when cui is null then 'unknown' else 'code' end from sc left join co on sc.target = co.system || ':' || co.code
+union all select doc, cui, 88, 'bare code' from bc join al on bc.target = al.code
+union all select doc, cui, 70 + 3 * n_tokens + case when key = whole then 15 else 0 end, 'name' from (select doc, whole, n_tokens, key, cui from sp union all select * from sp2))
+select doc, target, cast(x.score as integer) as score, x.how from (select doc, target, max(struct_pack(score := score, how := how)) as x from u group by all)""",
     "mentions_maximal": f"with {_NAMES}, {_KEYS} select doc, cast(i as integer) as start, n_tokens, key, cui from sp a where not exists (select 1 from sp b where b.doc = a.doc and b.i <= a.i and b.i + b.n_tokens >= a.i + a.n_tokens and b.n_tokens > a.n_tokens)",
     "mentions_scored": f"""with {_NAMES}, {_KEYS}, n as (select {key_sql('label')} as key, count(distinct cui) as cuis, max(case when ispref = 'Y' then 1 else 0 end) as pref from labels group by 1),
 q as (select doc, len(list_filter(t, lambda x: x not in ({_STOP}))) as q from keys), j as (select doc, sp.cui, n_tokens, cuis, pref, q, len(list_filter(string_split(sp.key, ' '), lambda x: x not in ({_STOP}))) as c from sp join n using (key) join q using (doc)),
@@ -220,6 +225,6 @@ select case when hit >= 0.8 and bad = 0 then 'good' when hit > 0 or bad = 0 then
 select row_id, coalesce(given, {key_sql('l.label')}) as norm from labels l left join t on l.cui = t.cui and l.sab = t.sab and l.tty = t.tty and l.label = t.label where norm is null or trim(norm, ' ') = ''""",
     "search_page": f"""with b as (select cui, row_id, label from labels where label is not null and suppress = 'N' and list_contains({toks_sql('label')}, 'rectum') and list_contains({toks_sql('label')}, 'infarction') qualify row_number() over (partition by cui order by {_ORDER}) = 1)
 select row_number() over (order by case when lower(label) = 'rectum infarction' then 0 else 1 end, length(label), label, row_id) as place, row_id, cui, label from b qualify place <= 25""",
-    "label_fit": f"""with k as (select {key_sql('label')} as k from labels) select case when coalesce(k, '') = '' then 'empty' when not regexp_matches(k, '[a-z]') then 'no_letter' when len(string_split(k, ' ')) = 1 and length(k) < 4 then 'short' when len(string_split(k, ' ')) > 6 then 'long' else 'fit' end as verdict, count(*) as n from k group by 1""",
+    "label_fit": f"""with k as (select {key_sql('label')} as k from labels) select case when coalesce(k, '') = '' then 'empty' when not regexp_matches(k, '[a-z]') then 'no_letter' when len(string_split(k, ' ')) = 1 and length(k) < 4 then 'short' when len(string_split(k, ' ')) > 8 then 'long' else 'fit' end as verdict, count(*) as n from k group by 1""",
 }
 SQL = as_integer(SQL, {"resolve_text": "score", "mentions_maximal": "n_tokens", "snippets_ranked": "place", "search_page": "place"})
