@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import let
 
-#: Spans inside which nothing separates: a double-quoted string (doubled quotes escape) or round brackets.
+#: Brackets within brackets are kept together to this depth.
+DEPTH = 16
+#: Spans inside which nothing separates: a double-quoted string (doubled quotes escape) or round brackets, nested ones
+#: with all they hold.
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
-SPAN = QUOTED + r'|\([^()"]*+(?:' + QUOTED + r'[^()"]*+)*+\)'
+_BRACKETS = r'\([^()"]*+(?:' + QUOTED + r'[^()"]*+)*+\)'
+for _ in range(DEPTH - 1):
+    _BRACKETS = r'\([^()"]*+(?:(?:' + QUOTED + "|" + _BRACKETS + r')[^()"]*+)*+\)'
+SPAN = QUOTED + "|" + _BRACKETS
 #: Delimiters outside spans. Blanks are no delimiter; see BARE.
 DELIMITERS = r"[;,|\t\r\n]"
 #: A bare identifier, such as ``C0001234`` or ``SNO:1234``.
@@ -28,7 +34,7 @@ def split_packed(field: Column, delimiters: str = DELIMITERS) -> Column:
 
     Null gives null; a field without any value gives an empty array. The four private-use characters that serve
     as marks are escaped where the data itself contains them, so no placeholder can collide with the text. A
-    quote or bracket that is never closed separates nothing and is kept as written.
+    quote or bracket that is never closed holds nothing together and is kept as written.
     """
     # marks in the data become ESCAPE + digit, so that OPEN, CLOSE and CUT are free to be used
     text = field

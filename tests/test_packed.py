@@ -80,3 +80,12 @@ def test_empty_and_repeated(spark):
 def test_long_field(spark):
     df = spark.createDataFrame([(1, ";".join(f'"v;{i}"' for i in range(20000)))], "row_id long, f string")
     assert unpack(df, "row_id", ["f"]).count() == 20000
+
+
+def test_nested_brackets_stay_together(spark):
+    rows = [(1, "C1 (a; (b; c); d); C2"), (2, "x (1, (2, (3, 4)), 5), y"), (3, 'p (q; "(r"; (s; t)); u'), (4, "open (a; (b; c); d"), (5, "(" * 12 + "a;b" + ")" * 12 + ";z"), (6, "(" * 3000)]
+    got = {}
+    for r in unpack(spark.createDataFrame(rows, "i long, f string"), "i", ["f"]).orderBy("i", "pos").collect():
+        got.setdefault(r.i, []).append(r.val)
+    assert got[1] == ["C1 (a; (b; c); d)", "C2"] and got[2] == ["x (1, (2, (3, 4)), 5)", "y"] and got[3] == ['p (q; "(r"; (s; t))', "u"]
+    assert got[4] == ["open (a", "(b; c)", "d"] and got[5] == ["(" * 12 + "a;b" + ")" * 12, "z"] and got[6] == ["(" * 3000]
