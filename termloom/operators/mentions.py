@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators.cumulative import running_total
+
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
-_ABBREVIATION = re.compile(r"\(([A-Z][A-Za-z0-9-]{1,9})\)")
+_ABBREVIATION = re.compile(r"\((?=[^()]*[^\W\d_])([^\W_][^\s()]{1,9})\)")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])|\n+")
 TARGET, MOST = 70, 95
 
@@ -30,20 +33,31 @@ SCOPE_END = {"but", "however", "although", "except", "and", "or", "still"}
 REACH = 6
 
 
+def _long_form(short: str, before: str) -> str | None:
+    """The shortest end of ``before`` that holds the signs of ``short`` in order, the first one at the start of a word
+    (Schwartz and Hearst, 2003)."""
+    at = len(before)
+    for place in range(len(short) - 1, -1, -1):
+        sign = short[place].lower()
+        if not sign.isalnum():
+            continue
+        at -= 1
+        while at >= 0 and (before[at].lower() != sign or place == 0 and at > 0 and before[at - 1].isalnum()):
+            at -= 1
+        if at < 0:
+            return None
+    return before[before.rfind(" ", 0, at + 1) + 1 :]
+
+
 def abbreviations(text: str) -> dict[str, str]:
-    """Short form in brackets to the words before it whose initials it spells, read backward."""
+    """Short forms in brackets with the words before them that they stand for. A short form has two to ten signs, a
+    letter among them; its long form has at most twice as many words, or five more, and is longer than it."""
     out: dict[str, str] = {}
     for m in _ABBREVIATION.finditer(text):
-        letters = [c for c in m[1].lower() if c.isalnum()]
-        words = list(_TOKEN.finditer(text, max(0, m.start() - 200), m.start()))[-(len(letters) + 5) :]
-        need = len(letters) - 1
-        for w in reversed(words):
-            if w[0][0].lower() == letters[need]:
-                need -= 1
-                if need < 0:
-                    if w is not words[-1]:
-                        out[m[1]] = " ".join(text[w.start() : m.start()].split())
-                    break
+        words = text[max(0, m.start() - 400) : m.start()].split()
+        found = _long_form(m[1], " ".join(words[-min(len(m[1]) + 5, 2 * len(m[1])) :]))
+        if found and len(found) > len(m[1]) and m[1] not in found.split():
+            out.setdefault(m[1], found)
     return out
 
 
@@ -115,8 +129,11 @@ def snippet(text: Column, word: Column, width: int) -> Column:
 
 
 def spread(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each key, evenly spread over its rows in order, the first and last among them."""
-    w = Window.partitionBy(*keys)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(*order)) - 1
+    """At most ``most`` rows of each key, evenly spread over its rows in order, the first and last among them. Places come
+    from running counts over ranges, so no key has to fit one task."""
+    placed = running_total(df, [*keys, *order], F.lit(1), "__at")
+    bounds = placed.groupBy(*keys).agg(F.min("__at").alias("__from"), F.count("*").alias("__n"))
+    same = reduce(Column.__and__, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    joined = placed.alias("a").join(bounds.alias("b"), same).select("a.*", "__from", "__n").withColumn("__i", (F.col("__at") - F.col("__from")).cast("int"))
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("__n") - 1) / (most - 1)).cast("int"))
-    return df.withColumn("__n", n).withColumn("__i", i).where((F.col("__n") <= most) | F.array_contains(picks, F.col("__i"))).drop("__n", "__i")
+    return joined.where((F.col("__n") <= most) | F.array_contains(picks, F.col("__i"))).drop("__n", "__i", "__at", "__from")

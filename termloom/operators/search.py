@@ -18,10 +18,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query, cui, score, rank): for each query (query, v) the ``k`` concepts whose best vector (row_id, cui, v) has
     the highest cosine similarity; ties go to the smaller concept. A vector never finds itself (row_id = query).
     Vectors must be finite, of one length and not all zero. Queries come in blocks, against all rows."""
-    names = [r.query for r in queries.select("query").orderBy("query").toLocalIterator()]
+    n = queries.count()
+    blocks = max(1, -(-n // (QUERY_BLOCK // 2)))  # by hash, so a block may hold somewhat more than its share
     out = []
-    for at in range(0, max(len(names), 1), QUERY_BLOCK):
-        block = queries.where(F.col("query").isin(names[at : at + QUERY_BLOCK])) if len(names) > QUERY_BLOCK else queries
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else queries
         out.append(_score(block.toPandas().sort_values("query"), vectors, k))
     found = reduce(DataFrame.unionByName, out)
     best = found.groupBy("query", "cui").agg(F.max("score").alias("score"))
@@ -45,9 +46,8 @@ def _score(block: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             s[ids[:, None] == b["row_id"].to_numpy()[None, :]] = -np.inf
             # the k best concepts of a batch lie among its k best rows of each concept; keep each concept's best
             cuis, code = np.unique(b["cui"].to_numpy().astype(str), return_inverse=True)
-            top = np.full((len(ids), len(cuis)), -np.inf)
-            for c in np.unique(code):
-                top[:, c] = s[:, code == c].max(axis=1)
+            order = np.argsort(code, kind="stable")
+            top = np.maximum.reduceat(s[:, order], np.flatnonzero(np.diff(code[order], prepend=-1)), axis=1)
             m = min(k, len(cuis))
             edge = -np.partition(-top, m - 1, axis=1)[:, m - 1 : m]
             qi, ci = np.nonzero((top >= edge) & np.isfinite(top))
