@@ -24,8 +24,8 @@ from termloom.session import cut
 CURVES = 8
 PROJECTED = 8
 BITS = 7
+#: Rows of a window; an eighth more belongs to it on either side.
 BLOCK = 512
-MARGIN = 64
 #: Rows from which centre and spread of the projections are fitted (those of smallest id hash).
 FIT_ROWS = 20_000
 
@@ -81,10 +81,13 @@ def _direction(v: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), scaled).alias(f"d{i}") for i in (1, 2)]
 
 
-def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """(row_id, neighbor, score, rank) of the ``k`` rows of highest cosine similarity to each row of ``vectors``
     (row_id unique, v), itself left out; ties go to the smaller id. Fewer than ``k`` come out only where there
-    are no more rows. An empty table gives no rows."""
+    are no more rows. An empty table gives no rows.
+
+    A row is scored against ``curves`` windows of ``block`` rows and an eighth on either side. Both buy recall: more
+    curves in shuffled vectors, larger blocks in arithmetic alone, which large collections should take first."""
     rows = cut(vectors.select("row_id", "v", *_direction(F.col("v"))))
     spark = rows.sparkSession
     place = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("row_id"))
@@ -114,9 +117,9 @@ def nearest(vectors: DataFrame, k: int = 5, curves: int = CURVES, seed: int = 7)
                 yield pd.concat(out)
 
     placed = running_total(vectors.mapInPandas(keys, "row_id long, curve int, key long"), ["curve", "key", "row_id"], F.lit(1), "pos")
-    block = F.floor(F.col("pos") / BLOCK)
-    near = F.array_distinct(F.array(block, F.floor(F.greatest(F.col("pos") - MARGIN, F.lit(0)) / BLOCK), F.floor((F.col("pos") + MARGIN) / BLOCK)))
-    spread = placed.select("row_id", block.alias("own"), near.alias("near")).join(vectors, "row_id").select("row_id", "v", "own", F.explode("near").alias("block"))
+    own_block = F.floor(F.col("pos") / block)
+    near = F.array_distinct(F.array(own_block, F.floor(F.greatest(F.col("pos") - block // 8, F.lit(0)) / block), F.floor((F.col("pos") + block // 8) / block)))
+    spread = placed.select("row_id", own_block.alias("own"), near.alias("near")).join(vectors, "row_id").select("row_id", "v", "own", F.explode("near").alias("block"))
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         if group["row_id"].duplicated().any():  # a block over the end of a curve may hold a row twice; its own place counts
