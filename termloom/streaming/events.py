@@ -39,7 +39,8 @@ def upsert_into(path: str, key: str, order: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+        jvm = spark.sparkContext._jvm
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
         fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         rows = batch
         if fs.exists(pointer):
@@ -49,8 +50,14 @@ def upsert_into(path: str, key: str, order: str):
             rows = spark.read.schema(batch.schema).parquet(f"{path}/{version}").unionByName(batch)
         whole = F.struct(*batch.columns)
         rows.groupBy(key).agg(F.max_by(whole, order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        out = fs.create(pointer, True)
+        # written whole beside the old pointer and put in its place by one rename, so a crash leaves one or the other
+        beside = jvm.org.apache.hadoop.fs.Path(f"{path}/.current-{batch_id}")
+        out = fs.create(beside, True)
         out.writeBytes(f"v{batch_id}\n")
         out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(pointer), over)
 
     return write
