@@ -187,7 +187,7 @@ def extract(text: str) -> Iterator[tuple]:
             l2 = near(j, -1, False)[0] if l1 != "<b>" else "<b>"
             r1, j = near(i, 1, False)
             r2 = near(j, 1, False)[0] if r1 != "<b>" else "<b>"
-            before, after = around(i - 1, -1, 4), around(i + 1, 1, 3)
+            before, after = around(i - 1, -1, 6), around(i + 1, 1, 3)
             if c == "number":
                 yield "number", a, b, P.seed_kind(w) + "/" + P.shape(w), l1, f"{l2} {l1}", f"{r1} {r2}", *P.number_priors(w, before, after)
             elif loose[a, b] == "email":

@@ -183,6 +183,8 @@ ID_CUES = set(
 )
 # Those of them that say so only with a word for number behind them.
 LOOSE_ID_CUES = {"patient", "hospital", "chart", "record", "national", "social", "tax"}
+# Words between a cue and its number that put no distance between them.
+FILLERS = set("is no number num nr my the of card es ist est è # code ref was as".split())
 OTHER_CUES = set(
     """lot batch order pmid ndc loinc nct isbn issn doi article trial serial model invoice tracking reference version
     icd cpt hcpcs bp ratio range score level dose mg ml mcg room bed lane ticket item sku part build study gene
@@ -242,8 +244,12 @@ def number_priors(number: str, left: list[str], right: list[str]) -> tuple[float
         phone -= 5
     if number.lstrip("(").startswith(("0", "+")) and 9 <= n <= 15:
         phone += 0.8
-    for words, weight in ((left[:4], 1.0), (right[:3], 0.6)):
-        for place, w in enumerate(words):
+    for words, weight in ((left, 1.0), (right[:3], 0.6)):
+        place = -1
+        for w in words:
+            place += w not in FILLERS
+            if place > 3:
+                break
             near = weight * (1.0 if place < 2 else 0.75)
             if w in ("<b>", "<n>", "<item>"):
                 break
@@ -255,7 +261,7 @@ def number_priors(number: str, left: list[str], right: list[str]) -> tuple[float
                 ident -= 1.2 * near
                 break
             if w in ID_CUES:
-                near *= 0.3 if w in LOOSE_ID_CUES and place == 0 else 1.0
+                near *= 0.3 if w in LOOSE_ID_CUES and w == words[0] else 1.0
                 ident += 4.0 * near
                 phone -= 3.5 * near
                 break
