@@ -152,10 +152,11 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """(pmid, title, abstract, journal, year) of bulk citation XML, abstract sections joined."""
+    """(pmid, title, abstract, journal, year) of bulk citation XML, abstract sections joined, each behind its label, also
+    where it has no text."""
     schema = "MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string>>>>>"
     a = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path).select("MedlineCitation.*")
-    sections = F.transform(F.coalesce("Article.Abstract.AbstractText", F.array()), lambda s: F.concat_ws(": ", s["_Label"], s["_VALUE"]))
+    sections = F.transform(F.coalesce("Article.Abstract.AbstractText", F.array()), lambda s: F.concat_ws(": ", s["_Label"], F.coalesce(s["_VALUE"], F.lit(""))))
     return a.select(F.col("PMID._VALUE").alias("pmid"), T.clean_text(F.col("Article.ArticleTitle")).alias("title"), T.clean_text(F.array_join(sections, " ")).alias("abstract"), F.col("Article.Journal.Title").alias("journal"), F.col("Article.Journal.JournalIssue.PubDate.Year").try_cast("int").alias("year"))
 
 

@@ -76,3 +76,8 @@ def test_pages(spark):
     html = "<html><head><title>T &amp; U</title><script>x()</script></head><body><h1>Head</h1><!-- no --><p>One&nbsp;two .</p></body></html>"
     r = R.pages(spark.createDataFrame([(1, html), (2, None)], "id long, html string"), "html", ["id"]).orderBy("id").collect()
     assert r[0].title == "Head" and r[0].text == "T & U Head One two." and r[1].text is None
+
+
+def test_article_section_without_text_keeps_its_label(spark, tmp_path):
+    x = "<S>" + "".join(f"<PubmedArticle><MedlineCitation><PMID>{i}</PMID><Article><Abstract>{a}</Abstract></Article></MedlineCitation></PubmedArticle>" for i, a in ((1, "<AbstractText Label='ALL'></AbstractText>"), (2, "<AbstractText Label='AIM'/><AbstractText Label='END'>b</AbstractText>"), (3, "<AbstractText>c</AbstractText>"))) + "</S>"
+    assert {r.pmid: r.abstract for r in R.articles(spark, write(tmp_path / "a.xml", x)).collect()} == {"1": "ALL:", "2": "AIM: END: b", "3": "c"}
