@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.operators.namebits import possible
 
 
 # Words that name no concept when they stand alone.
@@ -24,12 +25,15 @@ def dictionary(labels: DataFrame, most_tokens: int, ambiguity: int) -> DataFrame
     return one.where((size <= most_tokens) & edges & ((size > 1) | (F.length("key") >= 4) & ~F.col("key").isin(GENERIC))).select("key", "cui", size.alias("n_tokens"))
 
 
+def spans(docs: DataFrame, names: DataFrame, most_tokens: int) -> DataFrame:
+    """(doc, start, n_tokens, key, cui, size, content) of every run of tokens in docs (doc, text) that is a name, with the
+    number of the document's tokens and of those that are no stop words. Only runs that may be names are shuffled."""
+    return possible(docs, names, most_tokens).join(names, "key").select("doc", "start", "n_tokens", "key", "cui", "size", "content")
+
+
 def candidates(docs: DataFrame, names: DataFrame, most_tokens: int) -> DataFrame:
     """(doc, start, n_tokens, key, cui) of every run of tokens in docs (doc, text) that is a name."""
-    edge = lambda g, at: F.element_at(F.split(g["text"], " "), at).isin(T.STOPWORDS)
-    fit = F.filter(T.ngrams(T.tokens(F.col("text")), most_tokens), lambda g: ~edge(g, 1) & ~edge(g, -1))  # no name has a stop word at its edge
-    grams = docs.select("doc", F.explode(fit).alias("g"))
-    return grams.select("doc", F.col("g.start").alias("start"), F.col("g.text").alias("key")).join(names, "key").select("doc", "start", "n_tokens", "key", "cui")
+    return spans(docs, names, most_tokens).drop("size", "content")
 
 
 def longest(spans: Column) -> Column:
