@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions import text as T
-from termloom.operators.link import candidates
+from termloom.operators.link import spans
 
 IDENTIFIER = r"\b([Cc]\d{7})\b"
 SYSTEM_CODE = r"\b([A-Z]{2,8}:[0-9]{2,12})\b"
@@ -28,9 +27,8 @@ def resolve_text(docs: DataFrame, names: DataFrame, concepts: DataFrame, codes:
     coded = each(SYSTEM_CODE).join(full, "target", "left").select("doc", F.coalesce("resolved", "target").alias("target"), F.when(F.col("resolved").isNull(), 0).otherwise(96).alias("score"), F.when(F.col("resolved").isNull(), "unknown").otherwise("code").alias("how"))
     alone = codes.groupBy("code").agg(F.min("cui").alias("cui"), F.countDistinct("cui").alias("n")).where("n = 1")
     bare = each(BARE_CODE).join(alone, F.col("target") == F.col("code")).select("doc", F.col("cui").alias("target"), F.lit(88).alias("score"), F.lit("bare code").alias("how"))
-    whole = docs.select("doc", T.normalized_key(F.col("text")).alias("whole"))
-    spans = candidates(docs, names, most_tokens).join(whole, "doc")
-    named = spans.select("doc", F.col("cui").alias("target"), (70 + 3 * F.col("n_tokens") + F.when(F.col("key") == F.col("whole"), 15).otherwise(0)).alias("score"), F.lit("name").alias("how"))
+    whole = F.size(F.split("key", " ")) == F.col("size")
+    named = spans(docs, names, most_tokens).select("doc", F.col("cui").alias("target"), (70 + 3 * F.col("n_tokens") + F.when(whole, 15).otherwise(0)).alias("score"), F.lit("name").alias("how"))
     found = direct.unionByName(coded).unionByName(bare).unionByName(named).groupBy("doc", "target").agg(F.max(F.struct("score", "how")).alias("x"))
     return found.select("doc", "target", "x.score", "x.how")
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from termloom.functions import text as T
 from termloom.operators import link as L
@@ -55,3 +56,14 @@ def test_filter_misses_no_name_however_crowded(monkeypatch):
         bits[segment * N.LEAST_BITS + (at & (N.LEAST_BITS - 1))] = True
     first = np.arange(N.SEGMENTS) * (N.LEAST_BITS // 8)
     assert len(N.may_be_name(h, np.packbits(bits, bitorder="little"), first, np.full(N.SEGMENTS, N.LEAST_BITS - 1))) == 5000
+
+
+@pytest.mark.parametrize("name", ["mentions_maximal", "link_evidence", "resolve_text", "mentions_scored"])
+def test_texts_are_not_spelled_out_nor_joined_again(spark, small, name):
+    """Runs come from the filter; in the plan, texts are read once for them and for no later join."""
+    import __spark_entry__
+
+    df = __spark_entry__.queries()[name](spark, small)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_join" not in plan and plan.count("text#") > 0
+    assert sum("Project [row_id#" in line and "translate(text#" in line for line in plan.splitlines()) <= 1 and df.count() >= 0
