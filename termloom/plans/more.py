@@ -32,9 +32,8 @@ def mentions_scored(spark: SparkSession, sf: str) -> DataFrame:
     docs, names = _named(spark, sf)
     n = table(spark, sf, "labels", "label", "cui", "ispref").select(T.normalized_key(F.col("label")).alias("key"), "cui", "ispref").where("key <> ''").groupBy("key").agg(F.countDistinct("cui").alias("cuis"), F.max((F.col("ispref") == "Y").cast("int")).alias("pref"))
     content = lambda c: F.size(F.filter(c, lambda t: ~t.isin(T.STOPWORDS)))
-    q = docs.select("doc", content(T.tokens(F.col("text"))).alias("q"))
-    spans = L.candidates(docs, names, 8).join(n, "key").join(q, "doc")
-    score = RS.span_score(F.col("n_tokens"), content(F.split("key", " ")), F.col("q"), F.col("cuis"), F.col("pref") == 1)
+    spans = L.spans(docs, names, 8).join(n, "key")
+    score = RS.span_score(F.col("n_tokens"), content(F.split("key", " ")), F.col("content"), F.col("cuis"), F.col("pref") == 1)
     return spans.groupBy("doc", "cui").agg(F.round(F.max(score), 6).alias("score"))
 
 
