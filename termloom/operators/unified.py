@@ -6,19 +6,24 @@ aggregation, so a concept that every query finds is no burden, and labels and co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.operators.link import candidates
+from termloom.operators.link import spans
+from termloom.session import cut_counting
 
 #: Weight of each lane in the score of a hit.
 LANES = {"label": 1.0, "code": 1.0, "definition": 0.5, "vector": 0.3, "graph": 0.2}
 # Least score of a hit by mode, and least pool of candidates by mode.
 MODES = {"precise": 0.60, "balanced": 0.35, "comprehensive": 0.20}
 POOLS = {"precise": 40, "balanced": 80, "comprehensive": 120}
+#: So many words that queries ask for and definitions hold are broadcast; beyond it they are joined.
+HELD_WORDS = 200_000
 
 
 def pool_size(k: int, mode: str = "balanced", times: int = 4) -> int:
@@ -28,9 +33,8 @@ def pool_size(k: int, mode: str = "balanced", times: int = 4) -> int:
 
 def label_lane(queries: DataFrame, names: DataFrame, most_tokens: int) -> DataFrame:
     """Names inside the text of queries (query, text), scored by the share of its words that they cover."""
-    spans = candidates(queries.select(F.col("query").alias("doc"), "text"), names, most_tokens)
-    size = queries.select(F.col("query").alias("doc"), F.size(T.tokens(F.col("text"))).alias("size"))
-    return spans.join(size, "doc").groupBy(F.col("doc").alias("query"), "cui").agg(F.max(0.5 + 0.5 * F.col("n_tokens") / F.col("size")).alias("score"))
+    found = spans(queries.select(F.col("query").alias("doc"), "text"), names, most_tokens)
+    return found.groupBy(F.col("doc").alias("query"), "cui").agg(F.max(0.5 + 0.5 * F.col("n_tokens") / F.col("size")).alias("score"))
 
 
 def code_lane(queries: DataFrame, concepts: DataFrame, pattern: str = r"\b([Cc]\d{7})\b") -> DataFrame:
@@ -41,17 +45,40 @@ def code_lane(queries: DataFrame, concepts: DataFrame, pattern: str = r"\b([Cc]\
 
 def definition_lane(queries: DataFrame, definitions: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
     """Definitions (cui, text) that hold, as prefixes of their words, all of a query's usable words (``least`` to
-    ``most``, no stop words, at least three letters), scored by the share of the definition they are. Words meet by
-    their first three letters, never every query with every definition."""
-    usable = F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda t: (F.length(t) >= 3) & ~t.isin(T.STOPWORDS))
-    q = queries.select("query", usable.alias("t")).where((F.size("t") >= least) & (F.size("t") <= most))
-    d = definitions.select("cui", F.array_distinct(T.tokens(F.col("text"))).alias("w")).where("size(w) > 0").withColumn("def", F.xxhash64("cui", "w"))
-    words = d.select(F.explode("w").alias("word")).distinct()
-    asked = q.select(F.explode("t").alias("t")).distinct()
-    pairs = asked.withColumn("h", F.substring("t", 1, 3)).join(words.withColumn("h", F.substring("word", 1, 3)), "h").where(F.col("word").startswith(F.col("t"))).select("t", "word")
-    post = d.select("def", "cui", F.size("w").alias("len"), F.explode("w").alias("word")).distinct()
-    hit = q.select("query", F.size("t").alias("n"), F.explode("t").alias("t")).join(pairs, "t").join(post, "word").groupBy("query", "n", "def", "cui", "len").agg(F.countDistinct("t").alias("m"))
-    return hit.where("m = n").groupBy("query", "cui").agg(F.max(F.col("n") / F.col("len")).alias("score"))
+    ``most``, no stop words, at least three letters), scored by the share of the definition they are.
+
+    A query with a word that no definition holds ends there, without a shuffle if such words are no more than
+    HELD_WORDS; any other is led by its rarest word to definitions, which are then asked for the rest. So common words
+    bring no pairs about."""
+    usable = F.array_sort(F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda t: (F.length(t) >= 3) & ~t.isin(T.STOPWORDS)))
+    q = queries.select("query", usable.alias("ts")).where((F.size("ts") >= least) & (F.size("ts") <= most))
+    d = definitions.select("cui", F.array_distinct(T.tokens(F.col("text"))).alias("w")).where("size(w) > 0").distinct()
+    starts = F.array_distinct(F.flatten(F.transform(F.filter("w", lambda x: F.length(x) >= 3), lambda x: F.transform(F.sequence(F.lit(3), F.length(x)), lambda n: F.substring(x, F.lit(1), n)))))
+    post = d.select("cui", F.size("w").alias("len"), F.concat(F.lit(" "), F.array_join("w", " ")).alias("def"), F.explode(starts).alias("t"))
+    asked = q.select(F.explode("ts").alias("t")).distinct()
+    often, n = cut_counting(post.groupBy("t").agg(F.count("*").alias("n")).join(asked, "t", "left_semi"), F.lit(True))
+    few = n <= HELD_WORDS
+    led = _rarest(q, often) if few else q.withColumn("row", F.monotonically_increasing_id()).select("row", "query", "ts", F.explode("ts").alias("t")).join(often, "t").groupBy("row", "query", "ts").agg(F.count("*").alias("held"), F.min(F.struct("n", "t")).alias("rarest")).where("held = size(ts)").select("query", "ts", F.col("rarest.t").alias("t"))
+    led = led.withColumn("starts", F.transform("ts", lambda t: F.concat(F.lit(" "), t))).withColumn("size", F.size("ts")).drop("ts")
+    hit = led.join(post.join(F.broadcast(often) if few else often, "t", "left_semi"), "t")
+    for i in range(most):  # one by one, since a lambda over the words is many times slower
+        hit = hit.where(F.coalesce(F.col("def").contains(F.get("starts", F.lit(i))), F.lit(True)))
+    return hit.groupBy("query", "cui").agg(F.max(F.col("size") / F.col("len")).alias("score"))
+
+
+def _rarest(q: DataFrame, often: DataFrame) -> DataFrame:
+    """Queries (query, ts) whose words are all among often (t, n), each with its rarest word t."""
+    held = q.sparkSession.sparkContext.broadcast({r.t: r.n for r in often.toLocalIterator()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = held.value
+        for b in batches:
+            asked = ((query, ts, ts.split(" ")) for query, ts in b.itertuples(index=False, name=None))
+            rows = [(query, ts, min(words, key=lambda t: (n[t], t))) for query, ts, words in asked if all(t in n for t in words)]
+            yield pd.DataFrame(rows, columns=["query", "ts", "t"])
+
+    found = q.select("query", F.array_join("ts", " ").alias("ts")).mapInPandas(run, f"query {q.schema['query'].dataType.simpleString()}, ts string, t string")
+    return found.select("query", F.split("ts", " ").alias("ts"), "t")
 
 
 def spread_lane(anchors: DataFrame, links: DataFrame) -> DataFrame:

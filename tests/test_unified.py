@@ -1,7 +1,9 @@
 import io
+import random
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.functions import lexical as X
 from termloom.operators import judging as J
@@ -82,3 +84,41 @@ def test_compact_vectors_keep_rows_and_refuse_lengths(spark, tmp_path):
     assert sorted((r.doc_id, r.vector) for r in R.compact_vectors(spark, str(tmp_path / "v")).collect()) == [("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("b", [3.0, 4.0])]
     with pytest.raises(Exception, match="has not 3 numbers"):
         W.compact_vectors(df, str(tmp_path / "w"), 3)
+
+
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_definition_lane_is_led_by_the_rarest_word(spark, monkeypatch, held):
+    """Against brute force; and with two words that all texts hold and one that few do, few pairs come about."""
+    monkeypatch.setattr(U, "HELD_WORDS", held)
+    rnd = random.Random(3)
+    words = ["renal", "renovascular", "ren", "knee", "kneecap", "acute", "acutely", "of", "pain", "painful", "1234", "ab"]
+    text = lambda least, most: " ".join(rnd.choice(words) for _ in range(rnd.randint(least, most)))
+    queries, defs = [(i, text(0, 5)) for i in range(150)], [(f"D{i % 40}", text(0, 7)) for i in range(120)] + [(None, "acute knee"), ("D1", None)]
+    want = {}
+    for i, q in queries:
+        ts = {t for t in q.split() if len(t) >= 3}
+        for cui, d in defs:
+            w = set((d or "").split())
+            if 2 <= len(ts) <= 8 and w and all(any(x.startswith(t) for x in w) for t in ts):
+                want[i, cui] = max(want.get((i, cui), 0), len(ts) / len(w))
+    q, d = spark.createDataFrame(queries, "query long, text string"), spark.createDataFrame(defs, "cui string, text string")
+    got = U.definition_lane(q, d).collect()
+    assert len(want) > 100 and {(r.query, r.cui): r.score for r in got} == want and len(got) == len(want)
+    many = spark.range(1500).select((F.col("id")).alias("query"), F.concat(F.lit("condition described rare"), F.col("id") % 300).alias("text"))
+    told = spark.range(1500).select(F.col("id").cast("string").alias("cui"), F.concat(F.lit("condition described as rare"), F.col("id") % 300, F.lit("x"), F.col("id")).alias("text"))
+    found = U.definition_lane(many, told)
+    found.collect()
+
+    def most_rows(node):
+        out, at, seen = 0, [node], 0
+        while at:
+            n = at.pop()
+            seen += 1
+            if "Join" in n.nodeName() and n.metrics().contains("numOutputRows"):
+                out = max(out, n.metrics().apply("numOutputRows").value())
+            inner = [n.executedPlan()] if "AdaptiveSparkPlan" in n.nodeName() else [n.plan()] if "QueryStage" in n.nodeName() else []
+            children = n.children()
+            at += inner + [children.apply(i) for i in range(children.size())]
+        return out
+
+    assert 0 < most_rows(found._jdf.queryExecution().executedPlan()) < 200_000
