@@ -15,6 +15,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column that is computed once: filters on a column of ``select`` are moved below it and compute it
+    again, each for itself, while those on a generated column stay above."""
+    return F.explode_outer(F.array(value))
+
+
 @lru_cache(maxsize=1)
 def fold_pairs() -> tuple[str, str]:
     """Characters of the Latin, punctuation and full-width blocks whose compatibility decomposition leaves one ASCII

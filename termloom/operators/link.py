@@ -17,7 +17,7 @@ def dictionary(labels: DataFrame, most_tokens: int, ambiguity: int) -> DataFrame
     """(key, cui, n_tokens) of the labels (label, cui) fit for linking: two tokens or one of at least four letters that
     is no generic word, at most ``most_tokens``, with a letter, no stop word at either edge, naming at most
     ``ambiguity`` concepts, of which the lowest is taken."""
-    keyed = labels.select(T.normalized_key(F.col("label")).alias("key"), "cui").where(F.col("key").rlike("[a-z]"))
+    keyed = labels.select(T.once(T.normalized_key(F.col("label"))).alias("key"), "cui").where(F.col("key").rlike("[a-z]"))
     one = keyed.groupBy("key").agg(F.countDistinct("cui").alias("n"), F.min("cui").alias("cui")).where(F.col("n") <= ambiguity)
     size = F.size(F.split("key", " "))
     words = F.split("key", " ")

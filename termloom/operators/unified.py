@@ -39,8 +39,8 @@ def label_lane(queries: DataFrame, names: DataFrame, most_tokens: int) -> DataFr
 
 def code_lane(queries: DataFrame, concepts: DataFrame, pattern: str = r"\b([Cc]\d{7})\b") -> DataFrame:
     """Identifiers inside the text that are among concepts (cui)."""
-    found = queries.select("query", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), F.upper))).alias("cui"))
-    return found.join(concepts.select("cui").distinct(), "cui", "left_semi").select("query", "cui", F.lit(1.0).alias("score"))
+    found = queries.select("query", F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), F.upper))).alias("cui"))
+    return found.where("cui is not null").join(concepts.select("cui").distinct(), "cui", "left_semi").select("query", "cui", F.lit(1.0).alias("score"))
 
 
 def definition_lane(queries: DataFrame, definitions: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
@@ -49,12 +49,12 @@ def definition_lane(queries: DataFrame, definitions: DataFrame, least: int = 2,
 
     A query with a word that no definition holds ends there, without a shuffle if such words are no more than
     HELD_WORDS; any other is led by its rarest word to definitions, which are then asked for the rest. So common words
-    bring no pairs about."""
+    bring no pairs about. A text that many concepts share is asked once."""
     usable = F.array_sort(F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda t: (F.length(t) >= 3) & ~t.isin(T.STOPWORDS)))
-    q = queries.select("query", usable.alias("ts")).where((F.size("ts") >= least) & (F.size("ts") <= most))
-    d = definitions.select("cui", F.array_distinct(T.tokens(F.col("text"))).alias("w")).where("size(w) > 0").distinct()
+    q = queries.select("query", T.once(usable).alias("ts")).where((F.size("ts") >= least) & (F.size("ts") <= most))
+    d = definitions.select("text").distinct().select("text", T.once(F.array_distinct(T.tokens(F.col("text")))).alias("w")).where("size(w) > 0")
     starts = F.array_distinct(F.flatten(F.transform(F.filter("w", lambda x: F.length(x) >= 3), lambda x: F.transform(F.sequence(F.lit(3), F.length(x)), lambda n: F.substring(x, F.lit(1), n)))))
-    post = d.select("cui", F.size("w").alias("len"), F.concat(F.lit(" "), F.array_join("w", " ")).alias("def"), F.explode(starts).alias("t"))
+    post = d.select("text", F.size("w").alias("len"), F.concat(F.lit(" "), F.array_join("w", " ")).alias("def"), F.explode_outer(starts).alias("t")).where("t is not null")
     asked = q.select(F.explode("ts").alias("t")).distinct()
     often, n = cut_counting(post.groupBy("t").agg(F.count("*").alias("n")).join(asked, "t", "left_semi"), F.lit(True))
     few = n <= HELD_WORDS
@@ -63,7 +63,8 @@ def definition_lane(queries: DataFrame, definitions: DataFrame, least: int = 2,
     hit = led.join(post.join(F.broadcast(often) if few else often, "t", "left_semi"), "t")
     for i in range(most):  # one by one, since a lambda over the words is many times slower
         hit = hit.where(F.coalesce(F.col("def").contains(F.get("starts", F.lit(i))), F.lit(True)))
-    return hit.groupBy("query", "cui").agg(F.max(F.col("size") / F.col("len")).alias("score"))
+    told = hit.select("query", "text", (F.col("size") / F.col("len")).alias("score")).join(definitions.select("cui", "text").distinct(), "text")
+    return told.groupBy("query", "cui").agg(F.max("score").alias("score"))
 
 
 def _rarest(q: DataFrame, often: DataFrame) -> DataFrame:
@@ -91,8 +92,10 @@ def unite(lanes: dict[str, DataFrame], weights: dict[str, float] | None = None)
     """(query, cui, lanes, in_<lane>..., rank_score): one row a query and concept with its best score in each lane, 0 where
     it is in none, and their weighted sum."""
     weights = weights or LANES
-    every = reduce(DataFrame.unionByName, (d.select("query", "cui", F.lit(n).alias("lane"), F.col("score").cast("double").alias("score")) for n, d in lanes.items()))
-    best = every.groupBy("query", "cui").agg(*(F.coalesce(F.max(F.when(F.col("lane") == n, F.col("score"))), F.lit(0.0)).alias(f"in_{n}") for n in lanes), F.array_join(F.sort_array(F.collect_set("lane")), "+").alias("lanes"))
+    every = reduce(DataFrame.unionByName, (d.select("query", "cui", F.lit(i).alias("lane"), F.col("score").cast("double").alias("score")) for i, d in enumerate(lanes.values())))
+    own = {n: F.col("lane") == i for i, n in enumerate(lanes)}
+    best = every.groupBy("query", "cui").agg(*(F.coalesce(F.max(F.when(is_own, F.col("score"))), F.lit(0.0)).alias(f"in_{n}") for n, is_own in own.items()), *(F.max(is_own).alias(f"has_{n}") for n, is_own in own.items()))
+    best = best.withColumn("lanes", F.concat_ws("+", *(F.when(F.col(f"has_{n}"), F.lit(n)) for n in sorted(own)))).drop(*(f"has_{n}" for n in own))
     total = reduce(Column.__add__, (F.col(f"in_{n}") * weights[n] for n in lanes))
     return best.withColumn("rank_score", F.round(total, 6))
 

@@ -15,7 +15,7 @@ from termloom.operators.packed import unpack
 from termloom.plans.graph import _PAIR, _PLACE
 from termloom.plans.search import _EXT, _GENERIC, _NAMES, _STOPS, neighbors_external
 from termloom.plans.text import PACKED, _values_sql, key_sql, toks_sql
-from termloom.session import as_integer, table
+from termloom.session import as_integer, cut, table
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,9 +35,13 @@ def _links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return near, graph
 
 
-def _united(spark: SparkSession, sf: str) -> DataFrame:
-    q = _queries(spark, sf)
-    label = U.label_lane(q, _names(spark, sf), 8)
+def _texts(q: DataFrame) -> DataFrame:
+    """(query, n, text): each text once, with the lowest of its queries and their number."""
+    return cut(q.groupBy("text").agg(F.min("query").alias("query"), F.count("*").alias("n")))
+
+
+def _united(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
+    label = cut(U.label_lane(q, cut(_names(spark, sf)), 8))
     definitions = table(spark, sf, "obo_terms", "definition", "xrefs").where("definition is not null").select(F.explode("xrefs").alias("x"), F.col("definition").alias("text")).select(F.upper(F.regexp_extract("x", r"\b([Cc][0-9]{7})\b", 1)).alias("cui"), "text").where("cui <> ''")
     near, graph = _links(spark, sf)
     code = U.code_lane(q, table(spark, sf, "labels", "cui"))
@@ -47,13 +51,19 @@ def _united(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_united(spark: SparkSession, sf: str) -> DataFrame:
     """Top-k report: the first page of ten of every query over all lanes."""
-    hits = U.hydrate(U.page(_united(spark, sf), 10), table(spark, sf, "labels", "cui", "label"), table(spark, sf, "evidence", "cui"))
+    q = _queries(spark, sf)
+    texts = _texts(q)
+    hits = U.hydrate(U.page(_united(spark, sf, texts), 10), table(spark, sf, "labels", "cui", "label"), table(spark, sf, "evidence", "cui"))
+    same = q.join(texts.select("text", F.col("query").alias("first")), "text").select("query", "first")
+    hits = hits.withColumnRenamed("query", "first").join(same, "first")
     return hits.select("query", "place", "cui", "label", "lanes", "rank_score", "evidence_count", "level")
 
 
 def search_lanes(spark: SparkSession, sf: str) -> DataFrame:
     """All candidates by the lanes they come from."""
-    return _united(spark, sf).groupBy("lanes").agg(F.count("*").alias("n"), F.round(F.sum("rank_score"), 3).alias("total"))
+    texts = _texts(_queries(spark, sf))
+    hits = _united(spark, sf, texts).join(texts.select("query", F.col("n").alias("times")), "query")
+    return hits.groupBy("lanes").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("rank_score") * F.col("times")), 3).alias("total"))
 
 
 def search_definitions(spark: SparkSession, sf: str) -> DataFrame:

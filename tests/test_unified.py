@@ -5,8 +5,10 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from termloom.functions import lexical as X
 from termloom.operators import judging as J
+from termloom.operators import link as L
 from termloom.operators import mentions as M
 from termloom.operators import related as RL
 from termloom.operators import unified as U
@@ -122,3 +124,29 @@ def test_definition_lane_is_led_by_the_rarest_word(spark, monkeypatch, held):
         return out
 
     assert 0 < most_rows(found._jdf.queryExecution().executedPlan()) < 200_000
+
+
+def test_texts_are_normalized_once(spark):
+    """Filters on keys and words must not compute them again."""
+    text = spark.range(10).select(F.col("id").alias("query"), F.concat(F.lit("Pain of knee "), F.col("id")).alias("text"), F.col("id").cast("string").alias("cui"))
+    normalized = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    names = L.dictionary(text.withColumnRenamed("text", "label"), 8, 2)
+    assert normalized(names) == 1 and {r.key for r in names.collect()} == {f"pain of knee {i}" for i in range(10)}
+    assert normalized(U.definition_lane(text, text)) <= 2  # queries and definitions
+
+
+def test_repeated_query_texts_are_searched_once(spark, small):
+    """Against the SQL; the sample's search terms repeat."""
+    duckdb = pytest.importorskip("duckdb")
+    from termloom.plans import unified as P
+
+    con = duckdb.connect()
+    for name in ("query_rows", "search_quality_patient_portal_queries", "labels", "evidence", "obo_terms", "related_concepts", "external_cui_neighbors"):
+        con.execute(f"create view {name} as select * from '{small}/{name}.parquet'")
+    q = P._queries(spark, small)
+    texts = P._texts(q)
+    assert texts.count() == q.select("text").distinct().count() < q.count() == texts.agg(F.sum("n")).first()[0]
+    for name in ("search_united", "search_lanes"):
+        got = __spark_entry__.queries()[name](spark, small)
+        want = con.execute(f"select {', '.join(got.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        assert want and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
