@@ -53,7 +53,7 @@ def search_united(spark: SparkSession, sf: str) -> DataFrame:
     """Top-k report: the first page of ten of every query over all lanes."""
     q = _queries(spark, sf)
     texts = _texts(q)
-    hits = U.hydrate(U.page(_united(spark, sf, texts), 10), table(spark, sf, "labels", "cui", "label"), table(spark, sf, "evidence", "cui"))
+    hits = U.hydrate(cut(U.page(_united(spark, sf, texts), 10)), table(spark, sf, "labels", "cui", "label"), table(spark, sf, "evidence", "cui"))
     same = q.join(texts.select("text", F.col("query").alias("first")), "text").select("query", "first")
     hits = hits.withColumnRenamed("query", "first").join(same, "first")
     return hits.select("query", "place", "cui", "label", "lanes", "rank_score", "evidence_count", "level")

@@ -150,3 +150,9 @@ def test_repeated_query_texts_are_searched_once(spark, small):
         got = __spark_entry__.queries()[name](spark, small)
         want = con.execute(f"select {', '.join(got.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
         assert want and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_page_is_found_once(spark, small):
+    """What fills in the page asks for its concepts several times, not for the search."""
+    found = __spark_entry__.queries()["search_united"](spark, small)
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString() and found.where("place = 1").count() > 0
